@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,3 +146,94 @@ def event_shop(spark: SparkSession, sf_dir: str) -> Shop:
             F.col("ts").alias("order_purchase_timestamp"),
         )
     )
+
+
+def sample_raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Raw tables with the faults the cleaning jobs repair, derived from the sample data.
+
+    Keys repeat, times are text and partly not times, categories and texts are missing.
+    """
+
+    def table(name: str) -> DataFrame:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+    def text(column: str) -> Column:
+        return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+
+    orders, lineitem, part = table("orders"), table("lineitem"), table("part")
+    brand = F.when(F.col("p_brand") != "Brand#2", F.col("p_brand"))
+    placed = text("o_orderdate")
+    return {
+        # One row per order, so a customer repeats with every order.
+        "customers": orders.select(
+            F.col("o_custkey").alias("customer_id"),
+            F.col("o_orderpriority").alias("customer_city"),
+            F.col("o_orderkey").alias("ingest_order"),
+        ),
+        "products": part.select(
+            F.col("p_partkey").alias("product_id"),
+            F.length("p_name").alias("product_name_lenght"),
+            F.length("p_type").alias("product_description_lenght"),
+            brand.alias("product_category_name"),
+        ),
+        "category_translation": part.select(F.col("p_brand").alias("product_category_name"))
+        .distinct()
+        .filter(~F.col("product_category_name").isin("Brand#2", "Brand#3"))
+        .withColumn("product_category_name_english", F.upper("product_category_name")),
+        # One row per item, so an order repeats as a whole.
+        "orders": lineitem.select("l_orderkey")
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .select(
+            F.col("o_orderkey").alias("order_id"),
+            F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_custkey")).alias("customer_id"),
+            F.col("o_orderstatus").alias("order_status"),
+            placed.alias("order_purchase_timestamp"),
+            F.when(F.col("o_orderstatus") != "P", placed).otherwise("not a date").alias("order_approved_at"),
+            F.when(F.col("o_orderstatus") == "F", placed).otherwise("").alias("order_delivered_carrier_date"),
+            F.lit("soon").alias("order_delivered_customer_date"),
+            placed.alias("order_estimated_delivery_date"),
+        ),
+        "order_items": lineitem.select(
+            F.col("l_orderkey").alias("order_id"),
+            F.col("l_linenumber").cast("bigint").alias("order_item_id"),
+            F.when(F.col("l_returnflag") != "R", text("l_shipdate"))
+            .otherwise("unknown")
+            .alias("shipping_limit_date"),
+        ),
+        # One row per turn, so a review repeats with every turn of the conversation.
+        "reviews": table("conversations").select(
+            F.col("conv_id").alias("review_id"),
+            F.when(F.col("role") != "user", F.col("role")).alias("review_comment_title"),
+            F.col("text").alias("review_comment_message"),
+            F.lit("2018-01-02 03:04:05").alias("review_creation_date"),
+            F.lit("never").alias("review_answer_timestamp"),
+            F.struct("turn", "role", "text").alias("ingest_order"),
+        ),
+        # Scores run from 1 to 7 here.
+        "scores": lineitem.select(
+            F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("review_score")
+        ),
+        # One row per customer, so a zip prefix repeats.
+        "geolocation": table("customer").select(
+            F.col("c_nationkey").alias("geolocation_zip_code_prefix"),
+            F.col("c_acctbal").alias("geolocation_lat"),
+            F.col("c_custkey").alias("ingest_order"),
+        ),
+    }
+
+
+def faulty_shop(spark: SparkSession, sf_dir: str) -> Shop:
+    """The sample shop with missing parents, over-long names and over-large amounts."""
+    shop = sample_shop(spark, sf_dir)
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.col("c_custkey").alias("customer_id"), "c_name", "c_acctbal"
+    )
+    customers = shop.customers.join(customer, "customer_id").filter(F.col("c_acctbal") >= 0)
+    return replace(
+        shop,
+        customers=customers.withColumn("customer_state", F.col("c_name")).drop("c_name", "c_acctbal"),
+        products=shop.products.filter(F.col("product_category_name") != "Brand#3"),
+        payments=shop.payments.withColumn(
+            "payment_value", F.col("payment_value").cast("decimal(14,2)") * 1000
+        ),
+    )
