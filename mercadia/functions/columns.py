@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,17 @@ def whole_days(earlier: Column | str, later: Column | str) -> Column:
     return F.extract(F.lit("DAY"), _col(later) - _col(earlier)).cast("bigint")
 
 
+def cents(amount: Column) -> Column:
+    """Whole cents of a two-decimal amount. Sums of them are exact, stay in generated
+    code, shuffle in 8 bytes, and fail rather than wrap when they overflow."""
+    return (amount * 100).cast("bigint")
+
+
+def amount(total_cents: Column | str) -> Column:
+    """The double nearest to an exact sum of cents."""
+    return (_col(total_cents).cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast("double")
+
+
 def as_double(col: Column | str) -> Column:
     return _col(col).cast("double")
 

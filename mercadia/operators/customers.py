@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mercadia.functions.columns import (
     SECONDS_PER_DAY,
-    as_double,
+    amount,
     count_where,
     percent,
     ratio,
@@ -21,7 +21,7 @@ from mercadia.plans.facts import (
     PERSON,
     delivered,
     orders_of,
-    revenue,
+    revenue_cents,
     roll_up,
     with_category,
 )
@@ -40,17 +40,19 @@ def _six_months_before(moment: Column) -> Column:
 def spend_per_person(shop: Shop, period: Period) -> DataFrame:
     """Delivered revenue of each person in the period."""
     orders = period.keep(delivered(orders_of(shop, totals=True)))
-    return roll_up(shop, orders, PERSON, sums=("revenue",)).select(
-        PERSON, as_double("revenue").alias("total_spent")
+    return roll_up(shop, orders, PERSON, sums=("revenue_cents",)).select(
+        PERSON, amount("revenue_cents").alias("total_spent")
     )
 
 
 def mean_spend(shop: Shop, period: Period) -> DataFrame:
     """Mean spend per person."""
     orders = period.keep(delivered(orders_of(shop, totals=True)))
-    people = roll_up(shop, orders, PERSON, sums=("revenue",))
+    people = roll_up(shop, orders, PERSON, sums=("revenue_cents",))
     return people.agg(
-        F.coalesce(ratio(F.sum("revenue"), F.count("revenue")), F.lit(0.0)).alias("avg_clv")
+        F.coalesce(ratio(amount(F.sum("revenue_cents")), F.count("revenue_cents")), F.lit(0.0)).alias(
+            "avg_clv"
+        )
     )
 
 
@@ -147,16 +149,16 @@ def top_categories_of(
     else:
         ids = shop.customers.select("customer_id", PERSON).join(chosen, PERSON, "left_semi")
         picked = orders.join(ids, "customer_id", "left_semi")
-    items = shop.order_items.select("order_id", "product_id", revenue().alias("revenue"))
+    items = shop.order_items.select("order_id", "product_id", revenue_cents().alias("revenue_cents"))
     sold = with_category(shop, items.join(picked.select("order_id"), "order_id"))
     return (
         sold.filter(F.col(CATEGORY_EN).isNotNull())
         .groupBy(CATEGORY_EN, "order_id")
-        .agg(F.sum("revenue").alias("revenue"))
+        .agg(F.sum("revenue_cents").alias("revenue_cents"))
         .groupBy(CATEGORY_EN)
         .agg(
             F.count("order_id").alias("total_orders_for_category"),
-            as_double(F.sum("revenue")).alias("total_revenue_for_category"),
+            amount(F.sum("revenue_cents")).alias("total_revenue_for_category"),
         )
         .orderBy(F.desc("total_revenue_for_category"), CATEGORY_EN)
         .limit(limit)
@@ -166,24 +168,24 @@ def top_categories_of(
 def customer_rfm(shop: Shop) -> DataFrame:
     """Last purchase, number of delivered items and their price per person."""
     orders = delivered(orders_of(shop, totals=True)).withColumn("last", F.col(PURCHASE))
-    return roll_up(shop, orders, PERSON, sums=("item_rows", "price_total"), maxs=("last",)).select(
+    return roll_up(shop, orders, PERSON, sums=("item_rows", "price_cents"), maxs=("last",)).select(
         PERSON,
         F.col("last").alias("last_purchase_date"),
         F.col("item_rows").alias("purchase_frequency"),
-        as_double("price_total").alias("total_monetary_value"),
+        amount("price_cents").alias("total_monetary_value"),
     )
 
 
 def lifetime_value(shop: Shop) -> DataFrame:
     """Delivered item rows, their price, and price per row for each person."""
     people = roll_up(
-        shop, delivered(orders_of(shop, totals=True)), PERSON, sums=("item_rows", "price_total")
+        shop, delivered(orders_of(shop, totals=True)), PERSON, sums=("item_rows", "price_cents")
     )
     return people.select(
         PERSON,
         F.col("item_rows").alias("total_orders"),
-        as_double("price_total").alias("total_revenue"),
-        ratio(F.col("price_total"), F.col("item_rows")).alias("avg_order_value"),
+        amount("price_cents").alias("total_revenue"),
+        ratio(amount("price_cents"), F.col("item_rows")).alias("avg_order_value"),
     )
 
 

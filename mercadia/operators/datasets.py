@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercadia.functions.columns import as_double, nan_to_null, period_start
+from mercadia.functions.columns import amount, nan_to_null, period_start
 from mercadia.functions.params import PURCHASE
 from mercadia.operators.features import person_product_counts, update_customers
 from mercadia.plans.facts import PERSON, delivered, roll_up
@@ -26,10 +26,10 @@ def sales_series(shop: Shop, frequency: str, by: str | None = None) -> DataFrame
         orders = shop.orders.join(totals_of(shop), "order_id", "left")
     steps = delivered(orders).withColumn("ds", period_start(SERIES[frequency], PURCHASE).cast("date"))
     if by is None:
-        series = steps.groupBy("ds").agg(F.sum("total_order_value").alias("total_order_value"))
-        return series.select("ds", as_double("total_order_value").alias("y"))
-    series = roll_up(shop, steps, by, keys=("ds",), sums=("total_order_value",))
-    return series.select(F.col(by).alias("series_id"), "ds", as_double("total_order_value").alias("y"))
+        series = steps.groupBy("ds").agg(F.sum("weighted_cents").alias("weighted_cents"))
+        return series.select("ds", amount("weighted_cents").alias("y"))
+    series = roll_up(shop, steps, by, keys=("ds",), sums=("weighted_cents",))
+    return series.select(F.col(by).alias("series_id"), "ds", amount("weighted_cents").alias("y"))
 
 
 def remove_outliers_log(

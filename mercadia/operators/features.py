@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercadia.functions.columns import as_double, percent, ratio, whole_days
+from mercadia.functions.columns import amount, as_double, percent, ratio, whole_days
 from mercadia.functions.params import PURCHASE
 from mercadia.operators.customers import reference_time
 from mercadia.plans.facts import (
@@ -88,12 +88,12 @@ def order_frequency(shop: Shop) -> DataFrame:
 def person_order_value(shop: Shop) -> DataFrame:
     """Price sum, orders and mean item price per person, any status."""
     orders = orders_of(shop, totals=True).withColumn("orders", F.lit(1))
-    people = roll_up(shop, orders, PERSON, sums=("price_total", "price_count", "orders"))
+    people = roll_up(shop, orders, PERSON, sums=("price_cents", "price_count", "orders"))
     return people.select(
         PERSON,
-        as_double("price_total").alias("total_revenue"),
+        amount("price_cents").alias("total_revenue"),
         F.col("orders").alias("total_orders"),
-        ratio(F.col("price_total"), F.col("price_count")).alias("avg_order_value"),
+        ratio(amount("price_cents"), F.col("price_count")).alias("avg_order_value"),
     )
 
 
@@ -105,10 +105,10 @@ def person_mean_price(shop: Shop) -> DataFrame:
 def person_mean_freight(shop: Shop) -> DataFrame:
     """Mean freight per item and person."""
     people = roll_up(
-        shop, orders_of(shop, totals=True), PERSON, sums=("freight_total", "freight_count")
+        shop, orders_of(shop, totals=True), PERSON, sums=("freight_cents", "freight_count")
     )
     return people.select(
-        PERSON, ratio(F.col("freight_total"), F.col("freight_count")).alias("avg_shipping_cost")
+        PERSON, ratio(amount("freight_cents"), F.col("freight_count")).alias("avg_shipping_cost")
     )
 
 
@@ -135,7 +135,7 @@ def person_canceled_share(shop: Shop) -> DataFrame:
 
 def order_values(shop: Shop) -> DataFrame:
     """Price and freight of an order, each weighted by the line number."""
-    return order_totals(shop).select("order_id", as_double("total_order_value").alias("total_order_value"))
+    return order_totals(shop).select("order_id", amount("weighted_cents").alias("total_order_value"))
 
 
 # --- purchase counts ------------------------------------------------------------------
@@ -215,7 +215,7 @@ def customer_features(shop: Shop) -> DataFrame:
     def of_delivered(name: str) -> Column:
         return F.when(is_delivered, F.col(name)).alias(f"d_{name}")
 
-    sums = ("revenue", "revenue_count", "freight_total", "freight_count", "item_rows")
+    sums = ("revenue_cents", "revenue_count", "freight_cents", "freight_count", "item_rows")
     wide = orders.select(
         "*",
         F.col(PURCHASE).cast("date").alias("day"),
@@ -238,13 +238,13 @@ def customer_features(shop: Shop) -> DataFrame:
         "delivered",
         F.col("d_item_rows").alias("delivered_items"),
         "orders",
-        as_double("d_revenue").alias("clv"),
+        amount("d_revenue_cents").alias("clv"),
         F.coalesce(ratio(F.coalesce("gap_days", F.lit(0)), gaps), F.lit(0.0)).alias(
             "avg_days_between_orders"
         ),
         F.col("delivered").cast("int").alias("total_orders"),
-        F.coalesce(ratio(F.col("d_revenue"), F.col("d_revenue_count")), F.lit(0.0)).alias("avg_order_value"),
-        F.coalesce(ratio(F.col("d_freight_total"), F.col("d_freight_count")), F.lit(0.0)).alias(
+        F.coalesce(ratio(amount("d_revenue_cents"), F.col("d_revenue_count")), F.lit(0.0)).alias("avg_order_value"),
+        F.coalesce(ratio(amount("d_freight_cents"), F.col("d_freight_count")), F.lit(0.0)).alias(
             "avg_shipping_cost"
         ),
         percent(F.col("canceled"), F.col("orders")).alias("estimated_return_rate"),

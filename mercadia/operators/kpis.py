@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercadia.functions.columns import as_double, period_start, ratio
+from mercadia.functions.columns import amount, cents, period_start, ratio
 from mercadia.functions.params import PURCHASE, Period, granularity_of
 from mercadia.plans.facts import PERSON, delivered, orders_of, roll_up
 from mercadia.sources.shop import Shop
@@ -27,11 +27,11 @@ def main_kpis(shop: Shop, period: Period) -> DataFrame:
     customer is new. That is the defined meaning of the figure.
     """
     orders = _delivered_totals(shop, period).withColumn("orders", F.lit(1))
-    people = roll_up(shop, orders, PERSON, sums=("revenue", "orders"))
+    people = roll_up(shop, orders, PERSON, sums=("revenue_cents", "orders"))
     return people.agg(
         F.coalesce(F.sum("orders"), F.lit(0)).alias("total_orders"),
-        as_double(F.sum("revenue")).alias("total_revenue"),
-        ratio(F.sum("revenue"), F.sum("orders")).alias("avg_order_value"),
+        amount(F.sum("revenue_cents")).alias("total_revenue"),
+        ratio(amount(F.sum("revenue_cents")), F.sum("orders")).alias("avg_order_value"),
         F.count(PERSON).alias("active_customers"),
         F.count(PERSON).alias("new_customers"),
     )
@@ -84,7 +84,9 @@ def revenue_orders_trend(shop: Shop, period: Period, freq: str = "ME") -> DataFr
     return (
         _delivered_totals(shop, period)
         .groupBy(period_start(granularity_of(freq), PURCHASE).alias("time_period"))
-        .agg(as_double(F.sum("revenue")).alias("total_revenue"), F.count("order_id").alias("total_orders"))
+        .agg(
+            amount(F.sum("revenue_cents")).alias("total_revenue"), F.count("order_id").alias("total_orders")
+        )
         .orderBy("time_period")
     )
 
@@ -94,7 +96,7 @@ def aov_trend(shop: Shop, period: Period, freq: str = "ME") -> DataFrame:
     return (
         _delivered_totals(shop, period)
         .groupBy(period_start(granularity_of(freq), PURCHASE).alias("time_period"))
-        .agg(ratio(F.sum("revenue"), F.count("order_id")).alias("avg_order_value"))
+        .agg(ratio(amount(F.sum("revenue_cents")), F.count("order_id")).alias("avg_order_value"))
         .orderBy("time_period")
     )
 
@@ -113,7 +115,6 @@ def new_vs_returning_revenue(shop: Shop, period: Period, freq: str = "ME") -> Da
         .filter(F.col(f"first.{PURCHASE}").isNotNull())
         .select(F.col("first.order_id").alias("order_id"), F.lit(True).alias("is_first"))
     )
-    zero = F.lit(0).cast("decimal(10,2)")
     is_new = F.coalesce(F.col("is_first"), F.lit(False))
     return (
         _delivered_totals(shop, period)
@@ -121,8 +122,8 @@ def new_vs_returning_revenue(shop: Shop, period: Period, freq: str = "ME") -> Da
         .join(first, "order_id", "left")
         .groupBy(period_start(granularity_of(freq), PURCHASE).alias("time_period"))
         .agg(
-            as_double(F.sum(F.when(is_new, F.col("revenue")).otherwise(zero))).alias("new_customer_revenue"),
-            as_double(F.sum(F.when(~is_new, F.col("revenue")).otherwise(zero))).alias(
+            amount(F.sum(F.when(is_new, F.col("revenue_cents")).otherwise(0))).alias("new_customer_revenue"),
+            amount(F.sum(F.when(~is_new, F.col("revenue_cents")).otherwise(0))).alias(
                 "returning_customer_revenue"
             ),
         )
@@ -137,15 +138,17 @@ def monthly_price_revenue(shop: Shop, period: Period | None = None) -> DataFrame
         orders = period.keep(orders)
     return (
         orders.groupBy(period_start("month", PURCHASE).alias("month"))
-        .agg(as_double(F.sum("price_total")).alias("total_revenue"))
+        .agg(amount(F.sum("price_cents")).alias("total_revenue"))
         .orderBy("month")
     )
 
 
 def average_order_value(shop: Shop) -> DataFrame:
     """Item price per order over all items, any status."""
-    per_order = shop.order_items.groupBy("order_id").agg(F.sum("price").alias("price_total"))
-    return per_order.agg(ratio(F.sum("price_total"), F.count("order_id")).alias("avg_order_value"))
+    per_order = shop.order_items.groupBy("order_id").agg(F.sum(cents(F.col("price"))).alias("price_cents"))
+    return per_order.agg(
+        ratio(amount(F.sum("price_cents")), F.count("order_id")).alias("avg_order_value")
+    )
 
 
 def average_shipping_cost(shop: Shop) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mercadia.functions.columns import (
     SECONDS_PER_DAY,
-    as_double,
+    amount,
     exact_mean,
     ratio,
     seconds_between,
@@ -36,12 +36,12 @@ def _mean_days(total: str, n: str) -> F.Column:
 def revenue_by_state(shop: Shop, period: Period, region: str | None = None) -> DataFrame:
     """Revenue, orders and mean order value per state."""
     orders = period.keep(delivered(orders_of(shop, totals=True))).withColumn("orders", F.lit(1))
-    states = _in_region(roll_up(shop, orders, STATE, sums=("revenue", "orders")), region)
+    states = _in_region(roll_up(shop, orders, STATE, sums=("revenue_cents", "orders")), region)
     return states.select(
         STATE,
-        as_double("revenue").alias("total_revenue"),
+        amount("revenue_cents").alias("total_revenue"),
         F.col("orders").alias("total_orders"),
-        ratio(F.col("revenue"), F.col("orders")).alias("avg_order_value"),
+        ratio(amount("revenue_cents"), F.col("orders")).alias("avg_order_value"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercadia.functions.columns import as_double, count_where, percent, period_start, ratio
+from mercadia.functions.columns import amount, count_where, percent, period_start, ratio
 from mercadia.functions.params import PURCHASE, Period
 from mercadia.plans.facts import delivered, orders_of
 from mercadia.sources.shop import Shop
@@ -52,7 +52,7 @@ def revenue_by_basket_size(shop: Shop, period: Period) -> DataFrame:
     return (
         period.keep(delivered(orders_of(shop, totals=True)))
         .groupBy(F.col("item_count").alias("items_per_order"))
-        .agg(as_double(F.sum("revenue")).alias("total_revenue_from_order_size"))
+        .agg(amount(F.sum("revenue_cents")).alias("total_revenue_from_order_size"))
         .orderBy("items_per_order")
     )
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercadia.functions.columns import as_double, percent, ratio
+from mercadia.functions.columns import amount, as_double, cents, percent, ratio
 from mercadia.functions.params import Period
 from mercadia.plans.facts import (
     CATEGORY,
     CATEGORY_EN,
     delivered,
-    revenue,
+    revenue_cents,
     sales_of,
     with_category,
 )
@@ -33,16 +33,16 @@ def category_performance(shop: Shop, period: Period) -> DataFrame:
     )
     items = (
         period.keep(delivered(sales_of(shop)))
-        .select("order_id", "product_id", "order_item_id", revenue().alias("revenue"))
+        .select("order_id", "product_id", "order_item_id", revenue_cents().alias("revenue_cents"))
         .join(reviews, "order_id", "left")
     )
     copies = F.coalesce(F.col("n_reviews"), F.lit(1))
     per_product = items.groupBy("product_id", "order_item_id").agg(
-        F.sum(F.col("revenue") * copies).alias("revenue"),
+        F.sum(F.col("revenue_cents") * copies).alias("revenue_cents"),
         F.sum("n_scores").alias("n_scores"),
         F.sum("score_sum").alias("score_sum"),
     )
-    sums = [F.sum(c).alias(c) for c in ("revenue", "n_scores", "score_sum")]
+    sums = [F.sum(c).alias(c) for c in ("revenue_cents", "n_scores", "score_sum")]
     return (
         with_category(shop, per_product)
         .filter(F.col(CATEGORY_EN).isNotNull())
@@ -50,7 +50,7 @@ def category_performance(shop: Shop, period: Period) -> DataFrame:
         .agg(*sums)
         .groupBy(CATEGORY_EN)
         .agg(
-            as_double(F.sum("revenue")).alias("total_revenue"),
+            amount(F.sum("revenue_cents")).alias("total_revenue"),
             F.count("order_item_id").alias("total_units_sold"),
             F.coalesce(ratio(F.sum("score_sum"), F.sum("n_scores")), F.lit(0.0)).alias("avg_review_score"),
         )
@@ -116,13 +116,13 @@ def top_selling_products(shop: Shop, period: Period, n: int = 10) -> DataFrame:
     per_product = (
         period.keep(delivered(sales_of(shop)))
         .groupBy("product_id")
-        .agg(F.count("order_id").alias("total_sales"), F.sum("price").alias("price_total"))
+        .agg(F.count("order_id").alias("total_sales"), F.sum(cents(F.col("price"))).alias("price_cents"))
     )
     return (
         with_category(shop, per_product)
         .orderBy(F.desc("total_sales"), "product_id")
         .limit(n)
-        .select("product_id", CATEGORY, "total_sales", as_double("price_total").alias("total_revenue"))
+        .select("product_id", CATEGORY, "total_sales", amount("price_cents").alias("total_revenue"))
     )
 
 

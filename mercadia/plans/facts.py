@@ -1,5 +1,7 @@
 """Order and item facts, and the skew-safe roll-ups the operators share.
 
+Money is carried as whole cents until a result leaves an operator.
+
 Measures are added up to the key of a join *before* the join. The map side then has
 already folded a hot order, product or customer into one row per task, and the join
 sees one row per key on both sides. What still joins at item grain (items with their
@@ -10,46 +12,36 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mercadia.functions.columns import cents
 from mercadia.functions.params import MONTH, PURCHASE
 from mercadia.sources.shop import Shop
 
 PERSON, STATE = "customer_unique_id", "customer_state"
 CATEGORY, CATEGORY_EN = "product_category_name", "product_category_name_english"
 
-ORDER_TOTALS = (
-    "revenue",
-    "revenue_count",
-    "price_total",
-    "price_count",
-    "freight_total",
-    "freight_count",
-    "item_rows",
-    "item_count",
-    "total_order_value",
-)
-
 
-def revenue() -> F.Column:
-    return F.col("price") + F.col("freight_value")
+def revenue_cents() -> Column:
+    return cents(F.col("price") + F.col("freight_value"))
 
 
 def order_totals(shop: Shop) -> DataFrame:
     """One row per order with its item sums; a query pays only for the sums it reads."""
     line = F.col("order_item_id")
+    price, freight = cents(F.col("price")), cents(F.col("freight_value"))
     return shop.order_items.groupBy("order_id").agg(
-        F.sum(revenue()).alias("revenue"),
-        F.count(revenue()).alias("revenue_count"),
-        F.sum("price").alias("price_total"),
+        F.sum(revenue_cents()).alias("revenue_cents"),
+        F.count(revenue_cents()).alias("revenue_count"),
+        F.sum(price).alias("price_cents"),
         F.count("price").alias("price_count"),
-        F.sum("freight_value").alias("freight_total"),
+        F.sum(freight).alias("freight_cents"),
         F.count("freight_value").alias("freight_count"),
         F.count(F.lit(1)).alias("item_rows"),
         F.count("order_item_id").alias("item_count"),
         # The line number is a weight here, on purpose.
-        (F.sum(F.col("price") * line) + F.sum(F.col("freight_value") * line)).alias("total_order_value"),
+        (F.sum(price * line) + F.sum(freight * line)).alias("weighted_cents"),
     )
 
 

@@ -768,9 +768,11 @@ def oracle() -> dict[str, str]:
                   o.approved AS order_approved_at, o.carrier AS order_delivered_carrier_date,
                   o.arrived AS order_delivered_customer_date, o.estimated AS order_estimated_delivery_date,
                   c.customer_unique_id, c.customer_state, c.customer_city, c.customer_id IS NOT NULL AS has_customer,
-                  CAST(revenue AS DOUBLE) AS revenue, revenue_count, CAST(price_total AS DOUBLE) AS price_total,
-                  price_count, CAST(freight_total AS DOUBLE) AS freight_total, freight_count, item_rows, item_count,
-                  CAST(total_order_value AS DOUBLE) AS total_order_value, CAST(date_trunc('month', o.purchased) AS DATE) AS purchase_month
+                  CAST(revenue * 100 AS BIGINT) AS revenue_cents, revenue_count,
+                  CAST(price_total * 100 AS BIGINT) AS price_cents, price_count,
+                  CAST(freight_total * 100 AS BIGINT) AS freight_cents, freight_count, item_rows, item_count,
+                  CAST(total_order_value * 100 AS BIGINT) AS weighted_cents,
+                  CAST(date_trunc('month', o.purchased) AS DATE) AS purchase_month
            FROM shop_orders o LEFT JOIN shop_customers c USING (customer_id) LEFT JOIN
              (SELECT order_id, sum(price + freight_value) AS revenue, count(price + freight_value) AS revenue_count,
                      sum(price) AS price_total, count(price) AS price_count, sum(freight_value) AS freight_total,
