@@ -26,7 +26,8 @@ from mercadia.operators import (
 )
 from mercadia.plans import facts
 from mercadia.plans.checkpoints import cut_lineage
-from mercadia.sources.sample_tables import event_shop, faulty_shop, sample_raw, sample_shop
+from mercadia.sources import sample_tables as sample
+from mercadia.sources.sample_tables import SampleTables, event_shop, faulty_shop, sample_shop
 from mercadia.sources.shop import Shop
 from mercadia.sources.sql import run_query
 
@@ -275,8 +276,13 @@ def _forecasts() -> dict[str, Query]:
 
 
 def _cleaning() -> dict[str, Query]:
-    def on(operator: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
-        return lambda spark, sf_dir: operator(sample_raw(spark, sf_dir))
+    def on(operator: Callable[..., DataFrame], *raw_tables: Callable[[SampleTables], DataFrame]) -> Query:
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            table = SampleTables(spark, sf_dir)
+            cleaned = operator(*(raw(table) for raw in raw_tables))
+            return cleaned.drop("ingest_order")
+
+        return query
 
     at = partial(_on, faulty_shop)
 
@@ -288,23 +294,19 @@ def _cleaning() -> dict[str, Query]:
         return kept.select("order_id", "order_item_id", "product_id", "seller_id")
 
     return {
-        "clean_customers": on(lambda raw: cleaning.clean_customers(raw["customers"]).drop("ingest_order")),
-        "clean_products": on(
-            lambda raw: cleaning.clean_products(raw["products"], raw["category_translation"])
-        ),
-        "clean_orders": on(lambda raw: cleaning.clean_orders(raw["orders"])),
-        "clean_order_items": on(lambda raw: cleaning.clean_order_items(raw["order_items"])),
-        "clean_reviews": on(lambda raw: cleaning.clean_reviews(raw["reviews"]).drop("ingest_order")),
-        "clean_geolocation": on(
-            lambda raw: cleaning.clean_geolocation(raw["geolocation"]).drop("ingest_order")
-        ),
+        "clean_customers": on(cleaning.clean_customers, sample.raw_customers),
+        "clean_products": on(cleaning.clean_products, sample.raw_products, sample.raw_translation),
+        "clean_orders": on(cleaning.clean_orders, sample.raw_orders),
+        "clean_order_items": on(cleaning.clean_order_items, sample.raw_order_items),
+        "clean_reviews": on(cleaning.clean_reviews, sample.raw_reviews),
+        "clean_geolocation": on(cleaning.clean_geolocation, sample.raw_geolocation),
         "clean_payments": _on(sample_shop, lambda shop: _plain(cleaning.passed_through(shop.payments))),
         "clean_sellers": _on(sample_shop, lambda shop: cleaning.passed_through(shop.sellers)),
         "fix_missing_zip_codes": _on(sample_shop, zip_codes),
         "key_report": _on(sample_shop, quality.key_report),
         "orphan_report": at(quality.orphan_report),
         "cascade_order_items": at(cascaded),
-        "score_violations": on(lambda raw: quality.score_violations(raw["scores"])),
+        "score_violations": on(quality.score_violations, sample.raw_scores),
         "width_report": at(quality.width_report),
     }
 

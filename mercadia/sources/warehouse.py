@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,8 +69,7 @@ def save_facts(shop: Shop, path: str) -> None:
 
 def with_facts(spark: SparkSession, shop: Shop, path: str) -> Shop:
     """The same shop, with operators reading the stored facts."""
-    return replace(
-        shop,
+    return shop.but(
         order_fact=spark.read.parquet(f"{path}/order_fact"),
         sales_fact=spark.read.parquet(f"{path}/sales_fact"),
     )
