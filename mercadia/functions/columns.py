@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercadia.functions.params import GRANULARITIES
@@ -72,6 +72,14 @@ def sum_where(condition: Column, value: Column | str) -> Column:
     return F.sum(F.when(condition, _col(value)))
 
 
+def with_row(df: DataFrame, row: DataFrame, name: str) -> DataFrame:
+    """Add a one-row frame as a struct column, through one scalar subquery.
+
+    A subquery per field would run the one-row frame again for each of them.
+    """
+    return df.withColumn(name, row.select(F.struct(*row.columns)).scalar())
+
+
 def nan_to_null(col: Column) -> Column:
     return F.when(~F.isnan(col), col)
 

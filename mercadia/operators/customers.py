@@ -14,6 +14,7 @@ from mercadia.functions.columns import (
     percent,
     ratio,
     seconds_between,
+    with_row,
 )
 from mercadia.functions.params import PURCHASE, Period, ntz
 from mercadia.plans.facts import (
@@ -59,12 +60,13 @@ def mean_spend(shop: Shop, period: Period) -> DataFrame:
 def spend_histogram(shop: Shop, period: Period, bins: int = 50) -> DataFrame:
     """Equal-width histogram of spend per person; bins count from 1, the last is closed."""
     spend = spend_per_person(shop, period).filter(F.col("total_spent").isNotNull())
-    low = spend.agg(F.min("total_spent")).scalar()
-    high = spend.agg(F.max("total_spent")).scalar()
+    ends = spend.agg(F.min("total_spent").alias("low"), F.max("total_spent").alias("high"))
+    low, high = F.col("ends.low"), F.col("ends.high")
     place = F.try_divide(F.col("total_spent") - low, high - low) * F.lit(float(bins))
     bin_no = F.least(F.floor(F.coalesce(place, F.lit(0.0))) + 1, F.lit(bins))
     return (
-        spend.select(bin_no.cast("bigint").alias("bin"))
+        with_row(spend, ends, "ends")
+        .select(bin_no.cast("bigint").alias("bin"))
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("customers"))
         .orderBy("bin")

@@ -47,9 +47,9 @@ def remove_outliers_log(
     quartiles = logged.groupBy(*by).agg(F.percentile("_log", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
     if by:
         logged = logged.join(quartiles, list(by))
-        low, high = F.col("_q")[0], F.col("_q")[1]
     else:
-        low, high = quartiles.select(F.col("_q")[0]).scalar(), quartiles.select(F.col("_q")[1]).scalar()
+        logged = logged.withColumn("_q", quartiles.scalar())
+    low, high = F.col("_q")[0], F.col("_q")[1]
     reach = (high - low) * F.lit(float(factor))
     return logged.filter(F.col("_log").between(low - reach, high + reach)).select(df.columns)
 

@@ -114,10 +114,8 @@ def person_mean_freight(shop: Shop) -> DataFrame:
 
 def person_payment_types(shop: Shop) -> DataFrame:
     """Payments per person and type."""
-    per_order = shop.payments.groupBy("order_id", "payment_type").agg(
-        F.count(F.lit(1)).alias("total_payments")
-    )
-    paid = per_order.join(orders_of(shop), "order_id")
+    payments = shop.payments.select("order_id", "payment_type", F.lit(1).alias("total_payments"))
+    paid = payments.join(orders_of(shop), "order_id")
     return roll_up(shop, paid, PERSON, keys=("payment_type",), sums=("total_payments",))
 
 

@@ -14,11 +14,11 @@ from mercadia.sources.shop import Shop
 def payment_preferences(shop: Shop, period: Period) -> DataFrame:
     """Payments per type for orders of the period, most used first."""
     in_period = period.keep(orders_of(shop)).select("order_id")
-    per_order = shop.payments.groupBy("order_id", "payment_type").agg(F.count(F.lit(1)).alias("n"))
     return (
-        per_order.join(in_period, "order_id")
+        shop.payments.select("order_id", "payment_type")
+        .join(in_period, "order_id")
         .groupBy("payment_type")
-        .agg(F.sum("n").alias("usage_count"))
+        .agg(F.count(F.lit(1)).alias("usage_count"))
         .orderBy(F.desc("usage_count"), "payment_type")
     )
 

@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercadia.functions.columns import ratio
+from mercadia.functions.columns import ratio, with_row
 from mercadia.plans.facts import PERSON
 
 # The six features, the default number of segments, the seed.
@@ -26,12 +26,8 @@ FEATURES = (
 )
 SEGMENTS, SEED = 3, 42
 
-
-def _stats(df: DataFrame, features: tuple[str, ...]) -> DataFrame:
-    return df.agg(
-        *(F.avg(f).alias(f"mean_{f}") for f in features),
-        *(F.stddev_pop(f).alias(f"std_{f}") for f in features),
-    )
+# Centres are broadcast up to this many.
+MAX_SEGMENTS = 1_000
 
 
 def standardise(df: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
@@ -40,14 +36,17 @@ def standardise(df: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFram
     Rows without a value in some feature drop out.
     """
     rows = df.na.drop(subset=list(features))
-    stats = _stats(rows, features)
+    stats = rows.agg(
+        *(F.avg(f).alias(f"mean_{f}") for f in features),
+        *(F.stddev_pop(f).alias(f"std_{f}") for f in features),
+    )
 
     def scaled(f: str) -> Column:
-        mean = stats.select(f"mean_{f}").scalar()
-        std = stats.select(f"std_{f}").scalar()
-        return F.coalesce(F.try_divide(F.col(f) - mean, std), F.lit(0.0)).alias(f"z_{f}")
+        centred = F.col(f) - F.col(f"_stats.mean_{f}")
+        return F.coalesce(F.try_divide(centred, F.col(f"_stats.std_{f}")), F.lit(0.0)).alias(f"z_{f}")
 
-    return rows.select("*", *(scaled(f) for f in features))
+    described = with_row(rows, stats, "_stats")
+    return described.select("*", *(scaled(f) for f in features)).drop("_stats")
 
 
 def fit_segments(df: DataFrame, k: int = SEGMENTS, seed: int = SEED):
@@ -91,42 +90,39 @@ def silhouette(labelled: DataFrame, features_col: str = "scaled", segment: str =
     return evaluator.evaluate(labelled.withColumn(segment, F.col(segment).cast("double")))
 
 
-def _with_centres(df: DataFrame, features: tuple[str, ...], segment: str) -> tuple[DataFrame, DataFrame]:
-    centres = df.groupBy(segment).agg(
-        F.count(F.lit(1)).alias("n"), *(F.avg(f).alias(f"c_{f}") for f in features)
-    )
-    return centres, df.join(centres, segment)
-
-
 def calinski_harabasz(
     df: DataFrame, features: tuple[str, ...], segment: str = "segment"
 ) -> DataFrame:
     """Between-segment over within-segment scatter, each per degree of freedom.
 
-    Scatter is taken around the means in one further pass, so large offsets cancel nothing.
+    One pass: size, means and population variances per segment hold all that is needed.
     """
-    grand = df.agg(*(F.avg(f).alias(f) for f in features))
-    _, rows = _with_centres(df, features, segment)
-    within = sum((F.pow(F.col(f) - F.col(f"c_{f}"), F.lit(2.0)) for f in features), F.lit(0.0))
-    between = sum(
-        (F.pow(F.col(f"c_{f}") - grand.select(f).scalar(), F.lit(2.0)) for f in features), F.lit(0.0)
+    sizes = df.groupBy(segment).agg(
+        F.count(F.lit(1)).alias("n"),
+        *(F.avg(f).alias(f"c_{f}") for f in features),
+        *(F.var_pop(f).alias(f"v_{f}") for f in features),
     )
-    per_segment = (
-        rows.select(segment, within.alias("within"), between.alias("between"))
-        .groupBy(segment)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("within").alias("within"), F.max("between").alias("between"))
+    grand = sizes.agg(*((F.sum(F.col("n") * F.col(f"c_{f}")) / F.sum("n")).alias(f) for f in features))
+    away = sum((F.pow(F.col(f"c_{f}") - F.col(f"_all.{f}"), F.lit(2.0)) for f in features), F.lit(0.0))
+    inside = sum((F.col(f"v_{f}") for f in features), F.lit(0.0))
+    scatter = with_row(sizes, grand, "_all").select(
+        "n", (F.col("n") * away).alias("between"), (F.col("n") * inside).alias("within")
     )
     k, n = F.count(F.lit(1)), F.sum("n")
-    return per_segment.agg(
-        (
-            ratio(F.sum(F.col("n") * F.col("between")), k - 1) / ratio(F.sum("within"), n - k)
-        ).alias("calinski_harabasz")
-    )
+    score = ratio(F.sum("between"), k - 1) / ratio(F.sum("within"), n - k)
+    return scatter.agg(score.alias("calinski_harabasz"))
+
+
+def _few(centres: DataFrame) -> DataFrame:
+    """The centres, small enough to send everywhere; an error if they are not."""
+    count = centres.agg(F.count(F.lit(1))).scalar()
+    problem = F.raise_error(F.lit(f"more than {MAX_SEGMENTS} segments"))
+    return F.broadcast(centres.filter(F.when(count <= MAX_SEGMENTS, True).otherwise(problem.cast("boolean"))))
 
 
 def davies_bouldin(df: DataFrame, features: tuple[str, ...], segment: str = "segment") -> DataFrame:
     """Mean over segments of the worst (spread + spread) / centre distance."""
-    centres, rows = _with_centres(df, features, segment)
+    centres = df.groupBy(segment).agg(*(F.avg(f).alias(f"c_{f}") for f in features))
 
     def distance(left: str, right: str) -> Column:
         squares = (
@@ -134,11 +130,17 @@ def davies_bouldin(df: DataFrame, features: tuple[str, ...], segment: str = "seg
         )
         return F.sqrt(sum(squares, F.lit(0.0)))
 
-    spread = rows.groupBy(segment).agg(F.avg(distance("", "c_")).alias("spread"))
-    described = spread.join(centres.drop("n"), segment)
+    spread = (
+        df.join(_few(centres), segment)
+        .groupBy(segment)
+        .agg(
+            F.avg(distance("", "c_")).alias("spread"),
+            *(F.max(f"c_{f}").alias(f"c_{f}") for f in features),
+        )
+    )
     # As many rows as segments: every other segment becomes an element of each row.
-    others = described.agg(F.collect_list(F.struct(*described.columns)))
-    pairs = described.select("*", F.explode(others.scalar()).alias("other")).filter(
+    others = spread.agg(F.collect_list(F.struct(*spread.columns)))
+    pairs = spread.select("*", F.explode(others.scalar()).alias("other")).filter(
         F.col(segment) != F.col(f"other.{segment}")
     )
     similarity = (F.col("spread") + F.col("other.spread")) / distance("c_", "other.c_")

@@ -35,6 +35,8 @@ def local_session(name: str = "mercadia", cpus: str | int = "*", partitions: int
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # Recording the call site of every column expression doubles the planning time.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
