@@ -20,13 +20,13 @@ LENIENT_ORDER_TIMES = (
 
 
 def keep_first(df: DataFrame, key: str, order: str = "ingest_order") -> DataFrame:
-    """First row of each key in file order.
+    """First row of each key in file order, without the column that holds the order.
 
     Spark prunes to one row per key and task before the shuffle, so a key that fills
     half the file costs nothing extra.
     """
     in_order = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("_rank", F.row_number().over(in_order)).filter("_rank = 1").drop("_rank")
+    return df.withColumn("_rank", F.row_number().over(in_order)).filter("_rank = 1").drop("_rank", order)
 
 
 def strict_timestamp(column: str) -> Column:
@@ -58,8 +58,7 @@ def clean_orders(raw: DataFrame) -> DataFrame:
     """Drop repeated rows, parse the five times, drop orders without a customer."""
     times = [(c, strict_timestamp(c)) for c in STRICT_ORDER_TIMES]
     times += [(c, lenient_timestamp(c)) for c in LENIENT_ORDER_TIMES]
-    rows = raw.drop("ingest_order") if "ingest_order" in raw.columns else raw
-    return _replace(rows.dropDuplicates(), *times).na.drop(subset=["customer_id"])
+    return _replace(raw.dropDuplicates(), *times).na.drop(subset=["customer_id"])
 
 
 def clean_order_items(raw: DataFrame) -> DataFrame:

@@ -117,7 +117,11 @@ def forecast(series: DataFrame, test_size: int = TEST_SIZE, step: str = "W") ->
         F.col("series_id").cast("string").alias("series_id"), "ds", "y", "is_test"
     )
     fitted = marked.groupBy("series_id").applyInPandas(_forecaster(step), FORECAST_SCHEMA)
-    return ensemble(fitted)
+    # A missing pandas value arrives as NULL; a forecast that failed is NaN.
+    nan = F.lit(float("nan"))
+    return ensemble(
+        fitted.withColumns({model: F.coalesce(model, nan) for model in ("arima", "seasonal")})
+    )
 
 
 def ensemble(forecasts: DataFrame) -> DataFrame:

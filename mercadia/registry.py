@@ -279,8 +279,7 @@ def _cleaning() -> dict[str, Query]:
     def on(operator: Callable[..., DataFrame], *raw_tables: Callable[[SampleTables], DataFrame]) -> Query:
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             table = SampleTables(spark, sf_dir)
-            cleaned = operator(*(raw(table) for raw in raw_tables))
-            return cleaned.drop("ingest_order")
+            return operator(*(raw(table) for raw in raw_tables))
 
         return query
 
