@@ -31,10 +31,15 @@ def whole_days(earlier: Column | str, later: Column | str) -> Column:
     return F.extract(F.lit("DAY"), _col(later) - _col(earlier)).cast("bigint")
 
 
-def cents(amount: Column) -> Column:
-    """Whole cents of a two-decimal amount. Sums of them are exact, stay in generated
-    code, shuffle in 8 bytes, and fail rather than wrap when they overflow."""
-    return (amount * 100).cast("bigint")
+def cents(*amounts: Column) -> Column:
+    """Whole cents of the sum of two-decimal amounts.
+
+    Sums of cents are exact, stay in generated code, shuffle in 8 bytes, and fail rather
+    than wrap when they overflow. An amount has at most ten digits, so the double product
+    is within a thousandth of the whole number it is rounded to.
+    """
+    total = sum((a.cast("double") for a in amounts[1:]), amounts[0].cast("double"))
+    return F.rint(total * 100).cast("bigint")
 
 
 def amount(total_cents: Column | str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercadia.functions.columns import amount, as_double, percent, ratio, whole_days
-from mercadia.functions.params import PURCHASE
+from mercadia.functions.params import PURCHASE, ntz
 from mercadia.operators.customers import reference_time
 from mercadia.plans.facts import (
     CATEGORY,
@@ -291,14 +291,14 @@ def update_orders(shop: Shop) -> DataFrame:
 # --- feature store --------------------------------------------------------------------
 
 
-def precomputed_features(shop: Shop, computed_at: Column) -> DataFrame:
+def precomputed_features(shop: Shop, computed_at: datetime) -> DataFrame:
     """The three purchase rollups as rows of one feature table, a JSON object per entry."""
 
     def entries(name: str, df: DataFrame) -> DataFrame:
         return df.select(
             F.lit(name).alias("feature_name"),
             F.to_json(F.struct(*df.columns)).alias("feature_value"),
-            computed_at.alias("computed_at"),
+            ntz(computed_at).alias("computed_at"),
         )
 
     return (

@@ -24,7 +24,7 @@ CATEGORY, CATEGORY_EN = "product_category_name", "product_category_name_english"
 
 
 def revenue_cents() -> Column:
-    return cents(F.col("price") + F.col("freight_value"))
+    return cents(F.col("price"), F.col("freight_value"))
 
 
 def order_totals(shop: Shop) -> DataFrame:

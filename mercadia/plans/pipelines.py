@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercadia.operators import cleaning, datasets, features, forecast, segments
@@ -47,7 +49,7 @@ def run_cleaning(spark: SparkSession, raw_path: str, cleaned_path: str) -> Shop:
     return Shop.from_parquet(spark, cleaned_path)
 
 
-def run_features(shop: Shop, path: str, computed_at: Column) -> None:
+def run_features(shop: Shop, path: str, computed_at: datetime) -> None:
     """Write the updated tables and the feature store as a new version under ``path``."""
     warehouse.save(features.update_customers(shop), f"{path}/customers")
     warehouse.save(features.customer_purchase_documents(shop), f"{path}/customer_purchase_documents")

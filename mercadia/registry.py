@@ -9,7 +9,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.functions.params import Period, ntz
+from mercadia.functions.params import Period
 from mercadia.operators import (
     cleaning,
     customers,
@@ -185,7 +185,7 @@ def _features() -> dict[str, Query]:
         "person_product_counts": on(features.person_product_counts),
         "product_popularity": on(features.product_popularity),
         "person_category_counts": on(features.person_category_counts),
-        "precomputed_features": on(features.precomputed_features, ntz(COMPUTED_AT)),
+        "precomputed_features": on(features.precomputed_features, COMPUTED_AT),
         "sales_series_weekly_by_state": on(
             datasets.sales_series, "weekly", by="customer_state"
         ),
@@ -198,7 +198,8 @@ def _by_rule(shop: Shop) -> DataFrame:
     """Customers in segments by number of orders, a rule that SQL can check."""
     orders_placed = F.col("total_orders")
     rule = F.when(orders_placed < 5, 0).when(orders_placed < 9, 1).otherwise(2)
-    return datasets.segmentation_dataset(shop).na.drop(subset=["clv", "total_orders"]).withColumn("segment", rule)
+    rows = datasets.segmentation_dataset(shop).na.drop(subset=["clv", "total_orders"])
+    return cut_lineage(rows.withColumn("segment", rule))
 
 
 def _rounded(df: DataFrame) -> DataFrame:

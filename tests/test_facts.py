@@ -7,7 +7,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from mercadia.functions.params import Period, ntz
+from mercadia.functions.params import Period
 from mercadia.operators import customers, datasets, features, kpis, logistics, orders, products
 from mercadia.plans import pipelines
 from mercadia.registry import PERIOD
@@ -96,7 +96,7 @@ def test_only_months_of_the_period_are_read(stored):
 
 
 def test_feature_tables_and_datasets_are_written(spark, base, tmp_path):
-    pipelines.run_features(base, str(tmp_path), ntz(datetime(2001, 8, 1)))
+    pipelines.run_features(base, str(tmp_path), datetime(2001, 8, 1))
     store = spark.read.parquet(f"{tmp_path}/precomputed_features")
     names = {r[0] for r in store.select("feature_name").distinct().collect()}
     assert names == {"customer_product_purchases", "top_product_popularity", "customer_top_categories"}
