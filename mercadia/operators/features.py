@@ -270,7 +270,11 @@ def update_customers(shop: Shop) -> DataFrame:
 
 
 def customer_purchase_documents(shop: Shop, per_document: int = PURCHASES_PER_DOCUMENT) -> DataFrame:
-    """Each customer id with the purchase documents of its person."""
+    """Each customer id with the purchase documents of its person.
+
+    Documents repeat for every id, as the column they stand for does; the batch job
+    stores them once per person.
+    """
     documents = purchase_documents(shop, per_document)
     return shop.customers.select("customer_id", PERSON).join(documents, PERSON, "left")
 

@@ -33,7 +33,7 @@ def order_totals(shop: Shop) -> DataFrame:
     price, freight = cents(F.col("price")), cents(F.col("freight_value"))
     return shop.order_items.groupBy("order_id").agg(
         F.sum(revenue_cents()).alias("revenue_cents"),
-        F.count(F.col("price") + F.col("freight_value")).alias("revenue_count"),
+        F.count(F.when(F.col("price").isNotNull(), F.col("freight_value"))).alias("revenue_count"),
         F.sum(price).alias("price_cents"),
         F.count("price").alias("price_count"),
         F.sum(freight).alias("freight_cents"),

@@ -52,7 +52,7 @@ def run_cleaning(spark: SparkSession, raw_path: str, cleaned_path: str) -> Shop:
 def run_features(shop: Shop, path: str, computed_at: datetime) -> None:
     """Write the updated tables and the feature store as a new version under ``path``."""
     warehouse.save(features.update_customers(shop), f"{path}/customers")
-    warehouse.save(features.customer_purchase_documents(shop), f"{path}/customer_purchase_documents")
+    warehouse.save(features.purchase_documents(shop), f"{path}/purchase_documents")
     warehouse.save(features.update_products(shop), f"{path}/products")
     warehouse.save(features.update_orders(shop), f"{path}/orders")
     warehouse.save_features(

@@ -175,6 +175,7 @@ def _features() -> dict[str, Query]:
         "person_canceled_share": on(features.person_canceled_share),
         "order_values": on(features.order_values),
         "update_customers": on(features.update_customers),
+        "purchase_documents": on(features.purchase_documents),
         "update_customers_product_purchases": on(features.customer_purchase_documents),
         "update_products_popularity": on(
             lambda shop: features.update_products(shop).select("product_id", "popularity_score")
@@ -260,6 +261,10 @@ def _forecasts() -> dict[str, Query]:
     def both(shop: Shop) -> DataFrame:
         return forecast.forecast(one_series(shop, "weekly").unionByName(one_series(shop, "daily")))
 
+    def by_state(shop: Shop) -> DataFrame:
+        trimmed = datasets.remove_outliers_log(state_series(shop), "y", by=["series_id"])
+        return forecast.forecast(trimmed)
+
     def naive_metrics(shop: Shop) -> DataFrame:
         naive = forecast.last_value_forecast(forecast.train_test_split(state_series(shop)))
         return _rounded(forecast.compute_metrics(naive, "y", "last_value", ("series_id",)))
@@ -269,10 +274,8 @@ def _forecasts() -> dict[str, Query]:
         "metrics_of_last_value": on(naive_metrics),
         "forecast_sales": on(both),
         "forecast_metrics": on(lambda shop: forecast.forecast_metrics(both(shop))),
-        "forecast_sales_by_state": on(lambda shop: forecast.forecast(state_series(shop))),
-        "forecast_metrics_by_state": on(
-            lambda shop: forecast.forecast_metrics(forecast.forecast(state_series(shop)))
-        ),
+        "forecast_sales_by_state": on(by_state),
+        "forecast_metrics_by_state": on(lambda shop: forecast.forecast_metrics(by_state(shop))),
     }
 
 

@@ -550,6 +550,7 @@ def oracle() -> dict[str, str]:
     documents = """documents_of AS (
       SELECT customer_unique_id, CAST(to_json(list({'product_id': product_id, 'total_purchases': total_purchases}
                ORDER BY product_id)) AS VARCHAR) AS product_purchases FROM pairs GROUP BY 1)"""
+    q["purchase_documents"] = over_shop("SELECT *, 0::BIGINT AS document FROM documents_of", PAIRS, documents)
     q["update_customers_product_purchases"] = over_shop(
         """SELECT customer_id, customer_unique_id, product_purchases,
                   CASE WHEN product_purchases IS NOT NULL THEN 0::BIGINT END AS document
