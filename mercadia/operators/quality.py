@@ -15,10 +15,11 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def key_violations(df: DataFrame, key: str) -> DataFrame:
-    """Keys that are NULL or occur more than once."""
-    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    return counted.filter(F.col(key).isNull() | (F.col("rows") > 1))
+def key_violations(df: DataFrame, *key: str) -> DataFrame:
+    """Keys that are NULL, in any part, or occur more than once."""
+    counted = df.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"))
+    unset = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in key))
+    return counted.filter(unset | (F.col("rows") > 1))
 
 
 def key_report(shop: Shop) -> DataFrame:
@@ -102,3 +103,34 @@ def width_report(shop: Shop) -> DataFrame:
         )
         reports.append(long)
     return _union(reports)
+
+
+def violations(shop: Shop) -> DataFrame:
+    """Broken rules with the rows they concern; empty when the tables are sound.
+
+    Items are identified by order and line, since a line number alone repeats.
+    """
+    tables = shop.tables()
+    keys = {name: (key,) for name, key in PRIMARY_KEYS.items()} | {"order_items": ("order_id", "order_item_id")}
+    reports = [
+        key_violations(df, *keys[name]).agg(
+            F.lit(f"key of {name}").alias("rule"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")
+        )
+        for name, df in tables.items()
+    ]
+    reference, place = F.col("reference"), F.concat_ws(".", "table_name", "column_name")
+    reports += [
+        orphan_report(shop).select(F.concat(F.lit("parent of "), reference).alias("rule"), "orphan_rows"),
+        width_report(shop).select(F.concat(F.lit("size of "), place).alias("rule"), "violations"),
+    ]
+    if "reviews" in tables:
+        scores = score_violations(tables["reviews"])
+        reports.append(scores.agg(F.lit("range of reviews.review_score").alias("rule"), F.count(F.lit(1))))
+    return _union([r.toDF("rule", "rows") for r in reports]).filter(F.col("rows") > 0)
+
+
+def require_sound(shop: Shop) -> None:
+    """Raise with the list of broken rules, as a database would on load."""
+    broken = violations(shop).collect()
+    if broken:
+        raise ValueError("; ".join(f"{r['rule']}: {r['rows']} rows" for r in broken))

@@ -95,6 +95,24 @@ def test_only_months_of_the_period_are_read(stored):
     assert {r[0].month for r in months} <= {1, 2, 3}
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark, base, tmp_path):
+    database = "shop_bucket_test"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{tmp_path}/db'")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        warehouse.create_tables(spark, database, buckets=4)
+        warehouse.load_tables(base, database, check=False, buckets=4)
+        shop = warehouse.read_database(spark, database)
+        trend = kpis.revenue_orders_trend(shop, PERIOD)
+        assert content(trend) == content(kpis.revenue_orders_trend(base, PERIOD))
+        plan = trend._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "hashpartitioning(order_id" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
 def test_feature_tables_and_datasets_are_written(spark, base, tmp_path):
     pipelines.run_features(base, str(tmp_path), datetime(2001, 8, 1))
     store = spark.read.parquet(f"{tmp_path}/precomputed_features")

@@ -82,6 +82,31 @@ def test_results_do_not_depend_on_partitions(hot, spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_a_hot_order_is_split_at_item_grain(hot, spark):
+    """With thresholds scaled down to the fixture, AQE splits the hot order's partition."""
+    shop = hot[-1]
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {key: spark.conf.get(key) for key in small}
+    items = shop.order_items.repartition(8)
+    expected = sorted(map(str, features.product_popularity(shop).collect()))
+    try:
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        df = features.product_popularity(shop.but(order_items=items))
+        assert sorted(map(str, df.collect())) == expected
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_roll_up_folds_the_hot_person(hot):
     _, orders, _, shop = hot
     counted = facts.roll_up(shop, shop.orders.selectExpr("*", "1 AS n"), facts.PERSON, sums=("n",))
