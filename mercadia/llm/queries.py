@@ -8,10 +8,22 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.llm import binary_records, packing, shared, tokens
+from mercadia.llm import (
+    binary_records,
+    components,
+    near_duplicates,
+    packing,
+    positional_index,
+    quality_rules,
+    sharding,
+    shared,
+    tokens,
+    toxicity,
+    url_rules,
+)
 
 # Python workers need no copy of the package.
-for module in (binary_records, packing, shared, tokens):
+for module in (binary_records, components, near_duplicates, packing, shared, tokens, toxicity):
     cloudpickle.register_pickle_by_value(module)
 
 
@@ -25,17 +37,62 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_bagminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_duplicates.duplicate_classes(documents(spark, sf_dir))
+    return classes.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("representative"))
+
+
+#: Production parameters of placement.
+SHARDS = tuple(f"shard-{k:03d}" for k in range(256))
+
+
+def op2_permutation_table_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(documents(spark, sf_dir), SHARDS).select("row.doc_id", "slot", "shard")
+
+
+def op3_weakly_supervised_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op4_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_rules.verdicts(pages, url_rules.rule_table(pages, url_rules.RULES))
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, index = binary_records.encode_to_records(documents(spark, sf_dir), tokenizer_file(), end_id=2)
     return index.select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset", "length")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_report(documents(spark, sf_dir))
+
+
 def op8_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.placement(packing.packed(documents(spark, sf_dir), tokenizer_file(), separator_id=0))
 
 
+def op9_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = positional_index.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return positional_index.digest(report)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_records, op8_tiered_packing)}
+    found = (
+        op1_bagminhash_near_duplicates,
+        op2_permutation_table_sharding,
+        op3_weakly_supervised_toxicity,
+        op4_redirect_equivalence,
+        op5_token_records,
+        op6_quality_rules,
+        op8_tiered_packing,
+        op9_positional_index_decontamination,
+    )
+    return {query.__name__: query for query in found}
 
 
 def llm_oracle() -> dict[str, str]:
