@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercadia.llm.components import components
@@ -167,8 +167,13 @@ def content_nodes(words: np.ndarray, owner: np.ndarray, n_texts: int) -> list[by
     return [row.tobytes() if n else None for row, n in zip(both, counts)]
 
 
+def row_hashes() -> list[Column]:
+    """Two hashes that tell rows apart by id and text."""
+    return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(7), "text", "doc_id").alias("k2")]
+
+
 def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """Rows (doc_id, node, bands) of all documents."""
+    """Rows (doc_id, k1, k2, node, bands) of all documents."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,12 +183,11 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             keys = band_keys(signatures(*found, len(texts), bands * rows), bands, rows)
             nodes = content_nodes(words, owner, len(texts))
             lists = [k.tolist() if node else [] for k, node in zip(keys, nodes)]
-            yield pa.record_batch(
-                [batch.column(0).cast(pa.int64()), pa.array(nodes, pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
-                ["doc_id", "node", "bands"],
-            )
+            columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(nodes, pa.binary())]
+            yield pa.record_batch([*columns, pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "node", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, node binary, bands array<long>")
+    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_hashes())
+    return rows_.mapInArrow(of, "doc_id long, k1 long, k2 long, node binary, bands array<long>")
 
 
 def multisets(docs: DataFrame) -> DataFrame:
@@ -271,10 +275,11 @@ def linked_nodes(proposals: DataFrame, docs: DataFrame, first_ids: DataFrame, si
 
 
 def duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """Rows (doc_id, node, class_id, class_size) of all documents, stored.
+    """Rows (doc_id, k1, k2, node, root, class_id, class_size) of all documents, stored.
 
     `class_id` is the least doc_id of the class, `class_size` its number of documents. `node` is
-    equal for documents of equal words; without words it is null and the class is the row's own.
+    equal for documents of equal words, `root` for those of a class; both are null without words,
+    and the class is then the row's own.
     """
     spark = prepared(docs.sparkSession)
     tables = Tables(spark, "near-duplicates")
@@ -288,7 +293,28 @@ def duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: in
     counts = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     rooted = counts.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "n")
     classes = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
-    of_node = rooted.join(classes, "root").select("node", "class_id", "class_size")
-    named = rows.select("doc_id", "node").join(of_node, "node")
-    lone = all_rows.filter("node is null").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return tables.stored(named.unionByName(lone))
+    of_node = rooted.join(classes, "root").select("node", "root", "class_id", "class_size")
+    named = rows.drop("bands").join(of_node, "node")
+    lone = all_rows.filter("node is null").drop("bands").withColumns(
+        {"root": F.lit(None).cast("binary"), "class_id": F.col("doc_id"), "class_size": F.lit(1).cast("long")}
+    )
+    found = tables.stored(named.unionByName(lone))
+    tables.drop(all_rows, unique, labels)
+    return found
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
+    """One document of each class, with all its columns: the one of the least id, then of the least hash.
+
+    Rows alike in id and text are one document. Documents without a word all stay.
+    """
+    classes = duplicate_classes(docs, similarity, bands, band_rows)
+    own = ["doc_id", "k1", "k2"]
+    alike_rows = classes.filter("node is not null").groupBy("root", *own).agg(F.count("*").alias("n"))
+    chosen = alike_rows.groupBy("root").agg(F.min(F.struct(*own, "n")).alias("row")).select("row.k1", "row.k2", "row.n")
+    lone = classes.filter("node is null").select("k1", "k2", F.lit(0).cast("long").alias("n")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *row_hashes()).join(chosen.unionByName(lone), ["k1", "k2"])
+    # Only rows that repeat another in all respects meet here.
+    single = rows.filter("n <= 1").select("row")
+    repeated = rows.filter("n > 1").groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row")
+    return single.unionByName(repeated).select("row.*")

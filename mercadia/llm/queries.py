@@ -11,19 +11,21 @@ from pyspark.sql import functions as F
 from mercadia.llm import (
     binary_records,
     components,
+    licenses,
     near_duplicates,
     packing,
     positional_index,
     quality_rules,
     sharding,
     shared,
+    site_quality,
     tokens,
     toxicity,
     url_rules,
 )
 
 # Python workers need no copy of the package.
-for module in (binary_records, components, near_duplicates, packing, shared, tokens, toxicity):
+for module in (binary_records, components, near_duplicates, packing, shared, site_quality, tokens, toxicity):
     cloudpickle.register_pickle_by_value(module)
 
 
@@ -72,6 +74,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(documents(spark, sf_dir))
 
 
+def op7_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.licence_report(documents(spark, sf_dir)))
+
+
 def op8_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.placement(packing.packed(documents(spark, sf_dir), tokenizer_file(), separator_id=0))
 
@@ -81,6 +87,16 @@ def op9_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> Da
     return positional_index.digest(report)
 
 
+def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_bagminhash_near_duplicates,
@@ -89,8 +105,11 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_redirect_equivalence,
         op5_token_records,
         op6_quality_rules,
+        op7_licence_sentences,
         op8_tiered_packing,
         op9_positional_index_decontamination,
+        op10_site_quality,
+        pipeline,
     )
     return {query.__name__: query for query in found}
 
