@@ -11,9 +11,9 @@ benchmark item gives windows of ten words; an item of fewer words is one window
    make a proximity match, where words were put in, left out or moved.
 4. A candidate counts if the document's words there are the window's words.
 
-Postings fold per task before they are shuffled, one row per start of a candidate, and a document's
-candidates are no more than its words times the windows on one word, so no term or passage that is
-common makes a large group. The benchmark's own tables are broadcast if they have few rows and
+Postings are shuffled once, by document: lists are intersected where a document's postings meet, and
+its text joins them by the same partitioning. A document's postings are no more than its words, so
+no term or passage that is common makes a large group. The benchmark's own tables are broadcast if they have few rows and
 shuffled otherwise. Documents are told apart by two 64-bit hashes of id and text, so null or
 repeated ids are safe; repeated rows get equal results. Null texts have no words and no hits.
 Items without id hit words but are not counted as items. Empty tables give zeros or no rows.
@@ -27,7 +27,7 @@ from pyspark.sql import Window
 
 from mercadia.llm.shared import Tables, broadcast_if_small
 
-WINDOW_WORDS, ANCHORS, SLOP = 10, 3, 5
+WINDOW_WORDS, ANCHORS, SLOP = 10, 2, 5
 #: Rows of the benchmark's tables that may be broadcast: some tens of megabytes.
 BROADCAST_ROWS = 500_000
 
@@ -85,8 +85,8 @@ def anchored(windows: DataFrame, docs: DataFrame, anchors: int, rows: int) -> Da
 
 
 def shifted_postings(postings: DataFrame, anchors: DataFrame, rows: int) -> DataFrame:
-    """Postings as starts of the windows that their terms anchor."""
-    return postings.join(broadcast_if_small(anchors, rows), "term").select(
+    """Postings, dealt by document, as starts of the windows that their terms anchor."""
+    return postings.join(broadcast_if_small(anchors, rows), "term_id").select(
         "k1", "k2", "window", "n", "rank", (F.col("position") - F.col("offset")).alias("start")
     )
 
@@ -125,9 +125,10 @@ def found(docs: DataFrame, benchmark: DataFrame, size: int, anchors: int, slop:
     tables = Tables(docs.sparkSession, "positional-index")
     windows = tables.stored(windows_of(benchmark, size).withColumn("window", F.monotonically_increasing_id()))
     chosen = tables.stored(anchored(windows, docs, anchors, rows))
-    wanted = broadcast_if_small(chosen.select("term").distinct(), rows)
-    postings = tables.stored(exploded(docs).join(wanted, "term"))
-    shifted = shifted_postings(postings, chosen, rows)
+    terms = tables.stored(chosen.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()))
+    postings = tables.stored(exploded(docs).join(broadcast_if_small(terms, rows), "term").select("k1", "k2", "term_id", "position"))
+    placed = chosen.join(broadcast_if_small(terms, rows), "term").select("window", "term_id", "offset", "rank", "n")
+    shifted = shifted_postings(postings.repartition("k1", "k2"), placed, rows)
     span = F.struct("start", "size", "phrase", "items")
     spans = candidates(shifted).join(broadcast_if_small(windows.drop("terms"), rows), "window")
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(span).alias("spans"))
