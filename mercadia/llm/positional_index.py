@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from mercadia.llm.shared import Tables, broadcast_if_small
+from mercadia.llm.shared import Tables, broadcast_if_small, settled
 
 WINDOW_WORDS, ANCHORS, SLOP = 10, 2, 5
 #: Rows of the benchmark's tables that may be broadcast: some tens of megabytes.
@@ -141,10 +141,10 @@ def found(docs: DataFrame, benchmark: DataFrame, size: int, anchors: int, slop:
 
 def matched(rows: DataFrame, hits: DataFrame) -> DataFrame:
     """Add the words and the verified spans to rows of (k1, k2, text, ...)."""
-    both = rows.join(hits, ["k1", "k2"], "left").withColumn("words", words_of(F.col("text")))
+    both = rows.join(hits, ["k1", "k2"], "left").withColumn("words", settled(words_of(F.col("text"))))
     n = F.size("words").cast("long")
     true = F.filter("spans", lambda s: F.array_join(F.slice("words", s["start"] + 1, s["size"]), " ") == s["phrase"])
-    both = both.withColumns({"n_words": n, "spans": F.sort_array(true)})
+    both = both.withColumns({"n_words": n, "spans": settled(F.sort_array(true))})
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("to"), F.lit(0).alias("n")),
@@ -157,7 +157,7 @@ def matched(rows: DataFrame, hits: DataFrame) -> DataFrame:
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: s["items"]))))
     return both.withColumns(
         {
-            "n_hit": F.coalesce(covered, F.lit(0)).cast("long"),
+            "n_hit": settled(F.coalesce(covered, F.lit(0)).cast("long")),
             "items": F.coalesce(items, F.array().cast("array<string>")),
             "near_items": F.coalesce(F.array_sort("near"), F.array().cast("array<string>")),
         }

@@ -18,9 +18,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mercadia.llm.shared import settled
+
 #: Fixed values of the contract.
 SPACE = r"[\x20\x09-\x0D]"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
 WINDOW, LEAST_WORDS, REPEATED_PERCENT = 8, 20, 30
 
 #: Frequent words of English, German, French and Spanish.
@@ -30,8 +32,6 @@ STOP_WORDS = (
     "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont avec son "
     "el los del las por para con no su al lo como más y o pero sus este ya porque"
 )
-#: Marks that may stand around a word.
-MARKS = ".,;:!?\"'()[]{}*#$%&|-_<>"
 
 
 class Rule(NamedTuple):
@@ -57,45 +57,41 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
-def without(text: Column, letters: str) -> Column:
-    return F.translate(text, letters, "")
-
-
 def share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
 def measured(rows: DataFrame) -> DataFrame:
     """Add the counts of the contract and the measures to rows of (..., text)."""
-    stops = sorted(set(STOP_WORDS.split()))
+    stops = sorted({form for word in STOP_WORDS.split() for form in (word, word.capitalize())})
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    step = rows.withColumns({"words": words_of(F.col("text")), "lines": lines})
+    step = rows.withColumns({"words": settled(words_of(F.col("text"))), "lines": settled(lines)})
     step = step.withColumns(
         {
-            "hashes": F.transform("words", lambda w: F.xxhash64(w)),
-            "stops": F.size(F.filter("words", lambda w: F.btrim(F.lower(w), F.lit(MARKS)).isin(stops))),
+            "hashes": settled(F.transform("words", lambda w: F.xxhash64(w))),
+            "stops": F.size(F.filter("words", lambda w: w.isin(stops))),
             "n_words": F.size("words").cast("long"),
-            "word_chars": F.length(without(text, " \t\n\x0b\x0c\r")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(without(text, SYMBOLS))).cast("long"),
+            "word_chars": F.length(F.array_join("words", "")).cast("long"),
+            "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
             "n_lines": F.size("lines").cast("long"),
             "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
-            "letters": F.length(F.regexp_replace(text, r"\P{L}+", "")),
-            "lower": F.length(F.regexp_replace(text, r"[^\p{Ll}]+", "")),
-            "exclaimed": F.length(text) - F.length(without(text, "!")),
+            "others": F.regexp_count(text, F.lit(r"[^\p{L}\x20\x09-\x0D]")),
+            "capitals": F.regexp_count(text, F.lit(r"\p{Lu}")),
+            "exclaimed": F.regexp_count(text, F.lit("!")),
         }
     )
     spans = F.when(
         F.size("hashes") >= WINDOW,
         F.transform(F.sequence(F.lit(1), F.size("hashes") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("hashes", i, WINDOW))),
     ).otherwise(F.array().cast("array<bigint>"))
-    step = step.withColumn("spans", spans)
+    step = step.withColumn("spans", settled(spans))
     # Most texts repeat nothing: only the others pay for sorting.
     placed = F.when(
         F.size(F.array_distinct("spans")) < F.size("spans"),
         F.sort_array(F.transform("spans", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
     )
-    step = step.withColumn("placed", placed)
+    step = step.withColumn("placed", settled(placed))
     repeated = F.filter(
         "placed",
         lambda e, k: ((k > 0) & (F.element_at("placed", F.greatest(k, F.lit(1)))["h"] == e["h"]))
@@ -115,8 +111,8 @@ def measured(rows: DataFrame) -> DataFrame:
             "symbols_per_word": share(F.col("n_symbols"), F.col("n_words")),
             "stop_word_ratio": share(F.col("stops"), F.col("n_words")),
             "duplicate_line_ratio": share(F.col("n_dup_lines"), F.col("n_lines")),
-            "capital_ratio": F.lit(1.0) - share(F.col("lower"), F.greatest("letters", F.lit(1))),
-            "letter_ratio": share(F.col("letters"), F.col("word_chars")),
+            "capital_ratio": share(F.col("capitals"), F.col("word_chars") - F.col("others")),
+            "letter_ratio": share(F.col("word_chars") - F.col("others"), F.col("word_chars")),
             "exclamations_per_word": share(F.col("exclaimed"), F.col("n_words")),
         }
     )
@@ -141,7 +137,7 @@ def judged(rows: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     return (
         measured(rows)
         .withColumns({"base_failed": failed, "broken_rules": broken(rules)})
-        .withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
+        .withColumn("kept", settled(~F.col("base_failed") & (F.size("broken_rules") == 0)))
     )
 
 

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,19 +68,14 @@ def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if len(df.limit(most_rows + 1).select(F.lit(1)).take(most_rows + 1)) <= most_rows else df
 
 
-def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """A row's identity: its id and its text. Rows alike in both are the same document."""
-    return F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text), F.length(text)).alias("content"))
-
-
 def learning_row(doc_id: Column | str = "doc_id") -> Column:
     """Rows whose labels may be learnt from: crc32 of the id as text is no multiple of 5."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 != 0, F.lit(False))
 
 
-def quoted_case(pairs: Sequence[tuple[Column, str]], otherwise: str | None = None) -> Column:
-    """The value of the first condition that holds."""
-    chain = F.lit(otherwise).cast("string")
-    for condition, value in reversed(list(pairs)):
-        chain = F.when(condition, F.lit(value)).otherwise(chain)
-    return chain
+def settled(value: Column) -> Column:
+    """A value computed where it stands: the optimiser neither copies it into the expressions that
+
+    read it, where a lambda would compute it for every element, nor pulls filters on it apart.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
