@@ -16,13 +16,11 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
     """Rows (node, root) for every node with an edge; the root is the least node of its component.
 
     `edges` has columns a and b of one orderable type, in any direction; loops, repeated edges and
-    edges with a null end are no links. Each round stores its edges and stops when a round changes
-    nothing.
+    edges with a null end are no links. Each round stores its edges; the last one leaves stars.
     """
     ends = edges.filter("a is not null and b is not null and a <> b")
     edges = tables.stored(ends.select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent")).distinct())
-    state = None
-    while True:
+    while not is_starry(edges):
         # Large star: every greater neighbour of a node is linked to the least node around it.
         both = edges.union(edges.select(F.col("parent").alias("child"), F.col("child").alias("parent")))
         near = both.groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("least"))
@@ -39,13 +37,18 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
             lesser.select(F.col("node").alias("child"), F.col("least").alias("parent"))
         )
         after = tables.stored(small.filter("child <> parent").distinct())
-        told = after.agg(F.count("*"), F.sum(F.xxhash64("child", "parent").cast("decimal(38,0)"))).first()
         tables.drop(edges)
         edges = after
-        if told == state:
-            break
-        state = told
     roots = edges.select("parent").distinct()
     return edges.select(F.col("child").alias("node"), F.col("parent").alias("root")).union(
         roots.select(F.col("parent").alias("node"), F.col("parent").alias("root"))
     )
+
+
+def is_starry(edges: DataFrame) -> bool:
+    """Whether every child has one parent, and no parent is a child: the components are found."""
+    ends = edges.select(F.col("child").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select(F.col("parent").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    counts = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not counts.filter("up > 1 or (up > 0 and down > 0)").take(1)

@@ -13,10 +13,11 @@ a probability equal to their weighted Jaccard similarity. Processes stop as soon
 have an earlier point, and a weight costs the logarithm of its size.
 
 Bands of five components propose pairs. Documents of equal words are one node from the start. In
-each bucket all nodes are compared with its least one; then, in every bucket that still holds
-several classes, the least is set aside and the next one is compared, until each remaining pair of
-a bucket is checked or linked already. So no proposed link is lost, no group is expanded into
-pairs, and nothing is gathered in one place. With 25 bands a pair at 0.8 is proposed with
+each bucket all nodes are compared with its least one, which links a group of copies in one round;
+then, in buckets that still hold several classes, the leader is set aside and further leaders are
+compared, twice as many in each round, until every remaining pair of a bucket is checked or of one
+class already. So no proposed link is lost, no group of copies is expanded into pairs, and nothing
+is gathered in one place. With 25 bands a pair at 0.8 is proposed with
 probability 0.99995, one at 0.9 practically always.
 
 A document of fewer than five words is one run of all its words. A null text or one without a word
@@ -247,29 +248,30 @@ def linked_nodes(proposals: DataFrame, docs: DataFrame, first_ids: DataFrame, si
     found = multisets(texts.join(keyed, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text"))
     bags = tables.stored(found.groupBy("node").agg(F.first("bag").alias("bag")))
     labels = tables.stored(nodes.select("node", F.col("node").alias("root")))
+    leaders = 1
     while state.take(1):
-        # state: the nodes of a bucket that are not yet set aside; roots: their present classes.
+        # state: the nodes of a bucket that are not set aside yet. Its leaders are the least node
+        # and, after the first round, others that a hash draws, twice as many in each round.
         named = state.join(labels, "node")
-        least = named.groupBy("key").agg(F.min(F.struct("node", "root")).alias("leader"))
-        others = tables.stored(
-            named.join(least, "key")
-            .filter(F.col("node") != F.col("leader.node"))
-            .select("key", "node", "root", F.col("leader.node").alias("a"), F.col("leader.root").alias("a_root"))
-        )
-        pairs = others.filter("root <> a_root").select("a", F.col("node").alias("b")).distinct()
-        links = tables.stored(alike(pairs, bags, similarity))
-        left = labels.select(F.col("node").alias("a"), F.col("root").alias("from"))
-        right = labels.select(F.col("node").alias("b"), F.col("root").alias("to"))
-        merged = components(links.join(left, "a").join(right, "b").select(F.col("from").alias("a"), F.col("to").alias("b")), tables)
-        merged = merged.select(F.col("node").alias("root"), F.col("root").alias("new"))
+        sizes = named.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n"))
+        drawn = (F.xxhash64("node").bitwiseAND(F.lit((1 << 62) - 1)) / F.lit(float(1 << 62))) < F.lit(leaders - 1) / F.col("n")
+        members = tables.stored(named.join(sizes, "key").select("key", "node", "root", ((F.col("node") == F.col("least")) | drawn).alias("leads")))
+        first = members.filter("leads").select("key", F.col("node").alias("a"), F.col("root").alias("a_root"))
+        met = first.join(members, "key").filter("root <> a_root and (not leads or a < node)")
+        links = tables.stored(alike(met.select("a", F.col("node").alias("b")).distinct(), bags, similarity))
         before = labels
-        labels = tables.stored(labels.join(merged, "root", "left").select("node", F.coalesce("new", "root").alias("root")))
+        if links.take(1):
+            left = labels.select(F.col("node").alias("a"), F.col("root").alias("from"))
+            right = labels.select(F.col("node").alias("b"), F.col("root").alias("to"))
+            ends = links.join(left, "a").join(right, "b").select(F.col("from").alias("a"), F.col("to").alias("b"))
+            merged = components(ends, tables).select(F.col("node").alias("root"), F.col("root").alias("new"))
+            labels = tables.stored(labels.join(merged, "root", "left").select("node", F.coalesce("new", "root").alias("root")))
         # A bucket whose nodes are all of one class has nothing left to compare.
-        named = others.select("key", "node").join(labels, "node")
-        several = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
-        after = tables.stored(named.join(several.select("key"), "key").select("key", "node"))
-        tables.drop(state, others, links, before)
-        state = after
+        rest = members.filter("not leads").select("key", "node")
+        spans = rest.join(labels, "node").groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"))
+        after = tables.stored(rest.join(spans.filter("x <> y").select("key"), "key"))
+        tables.drop(state, members, links, *([before] if before is not labels else []))
+        state, leaders = after, leaders * 2
     tables.drop(bags, wanted)
     return labels
 
