@@ -41,7 +41,7 @@ def remove_outliers_log(
     series, whose length the calendar bounds, since the quartiles are exact.
     """
     value = nan_to_null(F.col(column))
-    problem = F.raise_error(F.lit("Non-positive values found; cannot apply log transform."))
+    problem = F.raise_error(F.lit("the logarithm needs values above 0"))
     log_value = F.when(value <= 0, problem.cast("double")).otherwise(F.ln(value))
     logged = df.withColumn("_log", log_value)
     quartiles = logged.groupBy(*by).agg(F.percentile("_log", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))

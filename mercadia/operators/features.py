@@ -26,10 +26,6 @@ from mercadia.plans.facts import (
 )
 from mercadia.sources.shop import Shop
 
-# Products of one person per JSON document. A person with more gets further documents.
-PURCHASES_PER_DOCUMENT = 10_000
-
-
 # --- one value per person -------------------------------------------------------------
 
 
@@ -119,6 +115,14 @@ def person_payment_types(shop: Shop) -> DataFrame:
     return roll_up(shop, paid, PERSON, keys=("payment_type",), sums=("total_payments",))
 
 
+def preferred_payment_types(shop: Shop) -> DataFrame:
+    """The type that a person paid with most often; ties go to the type that sorts first."""
+    counts = person_payment_types(shop)
+    order = F.struct((-F.col("total_payments")).alias("n"), F.col("payment_type").isNull().alias("unset"), "payment_type")
+    best = counts.groupBy(PERSON).agg(F.min(order).alias("best"), F.sum("total_payments").alias("payments"))
+    return best.select(PERSON, F.col("best.payment_type").alias("preferred_payment_type"), "payments")
+
+
 def person_canceled_share(shop: Shop) -> DataFrame:
     """Canceled orders of a person in percent."""
     orders = orders_of(shop).select(
@@ -159,23 +163,17 @@ def person_category_counts(shop: Shop) -> DataFrame:
     )
 
 
-def purchase_documents(shop: Shop, per_document: int = PURCHASES_PER_DOCUMENT) -> DataFrame:
+def purchase_documents(shop: Shop, parts: int = 1) -> DataFrame:
     """Purchase counts of a person as JSON arrays, sorted by product.
 
-    A person normally has one document, number 0. One with more than ``per_document``
-    products has them spread over several, so that no row or task grows without bound.
+    ``person_product_counts`` has the same counts as rows. Every person's products are
+    dealt by hash to the same number of ``parts``, each a document of its own, so the grain
+    does not depend on the data; choose more parts where persons have very many products.
     """
-    counts = person_product_counts(shop)
-    large = (
-        counts.groupBy(PERSON)
-        .agg(F.count(F.lit(1)).alias("products"))
-        .filter(F.col("products") > per_document)
-        .select(F.col(PERSON).alias("person"), F.ceil(F.col("products") / per_document).alias("documents"))
-    )
-    spread = F.pmod(F.xxhash64("product_id"), F.coalesce(F.col("documents"), F.lit(1)))
+    part = F.pmod(F.xxhash64("product_id"), F.lit(parts))
     return (
-        counts.join(large, F.col(PERSON).eqNullSafe(F.col("person")), "left")
-        .groupBy(PERSON, spread.alias("document"))
+        person_product_counts(shop)
+        .groupBy(PERSON, part.alias("document"))
         .agg(
             F.to_json(
                 F.array_sort(F.collect_list(F.struct("product_id", "total_purchases")))
@@ -269,13 +267,13 @@ def update_customers(shop: Shop) -> DataFrame:
     )
 
 
-def customer_purchase_documents(shop: Shop, per_document: int = PURCHASES_PER_DOCUMENT) -> DataFrame:
+def customer_purchase_documents(shop: Shop, parts: int = 1) -> DataFrame:
     """Each customer id with the purchase documents of its person.
 
     Documents repeat for every id, as the column they stand for does; the batch job
     stores them once per person.
     """
-    documents = purchase_documents(shop, per_document)
+    documents = purchase_documents(shop, parts)
     return shop.customers.select("customer_id", PERSON).join(documents, PERSON, "left")
 
 

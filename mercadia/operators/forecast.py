@@ -35,18 +35,30 @@ def train_test_split(series: DataFrame, test_size: int = TEST_SIZE) -> DataFrame
 
 
 def _css_errors(w: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of squared one-step errors of ARMA(1,1) for many parameter pairs, and the last error."""
+    """Sum of squared one-step errors of ARMA(1,1) for many parameter pairs, and the last error.
+
+    Over a gap, which NaN marks, the model's own expectation stands in and adds no error.
+    """
     error, total = np.zeros_like(phi), np.zeros_like(phi)
-    for before, now in zip(w[:-1], w[1:]):
-        error = now - phi * before - theta * error
+    before = np.full_like(phi, w[0] if np.isfinite(w[0]) else 0.0)
+    for now in w[1:]:
+        expected = phi * before + theta * error
+        known = np.isfinite(now)
+        error = now - expected if known else np.zeros_like(phi)
+        before = np.full_like(phi, now) if known else expected
         total = total + error * error
     return total, error
 
 
-def arima_forecast(y: np.ndarray, steps: int) -> np.ndarray:
-    """ARIMA(1,1,1) by conditional least squares: a grid over (phi, theta), refined thrice."""
+def arima_forecast(y: np.ndarray, steps: int, least_steps: int = 2) -> np.ndarray:
+    """ARIMA(1,1,1) by conditional least squares: a grid over (phi, theta), refined thrice.
+
+    Steps next to a missing value are skipped. With fewer than ``least_steps`` known steps
+    nothing can be fitted and the forecast is NaN.
+    """
     w = np.diff(y)
-    if len(w) < 3 or not np.isfinite(w).all():
+    known = np.flatnonzero(np.isfinite(y))
+    if np.isfinite(w).sum() < least_steps:
         return np.full(steps, np.nan)
     centre, reach = np.array([0.0, 0.0]), 0.99
     for _ in range(4):
@@ -55,11 +67,11 @@ def arima_forecast(y: np.ndarray, steps: int) -> np.ndarray:
         total, error = _css_errors(w, phi, theta)
         best = int(np.argmin(total))
         centre, reach = np.array([phi[best], theta[best]]), reach / 10
-    moves, last = [], w[-1]
+    moves, last = [], w[np.isfinite(w)][-1]
     for step in range(steps):
         last = centre[0] * last + (centre[1] * error[best] if step == 0 else 0.0)
         moves.append(last)
-    return y[-1] + np.cumsum(moves)
+    return y[known[-1]] + np.cumsum(moves)
 
 
 def _seasonal_design(days: np.ndarray, span: float, knots: np.ndarray) -> np.ndarray:
@@ -95,6 +107,14 @@ def seasonal_forecast(ds: pd.Series, y: np.ndarray, test_ds: pd.Series, step: st
     return ahead[nearest]
 
 
+def _or_nan(model: Callable[..., np.ndarray], steps: int, *args) -> np.ndarray:
+    """A model that cannot be fitted to a series has no forecast for it; the others go on."""
+    try:
+        return model(*args)
+    except (ValueError, ArithmeticError, np.linalg.LinAlgError):
+        return np.full(steps, np.nan)
+
+
 def _forecaster(step: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def one_series(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ds")
@@ -104,8 +124,8 @@ def _forecaster(step: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
         if test.all():
             return out.assign(arima=np.nan, seasonal=np.nan)
         train_y = y[~test]
-        out["arima"] = arima_forecast(train_y, int(test.sum()))
-        out["seasonal"] = seasonal_forecast(dates[~test], train_y, dates[test], step)
+        out["arima"] = _or_nan(arima_forecast, len(out), train_y, int(test.sum()))
+        out["seasonal"] = _or_nan(seasonal_forecast, len(out), dates[~test], train_y, dates[test], step)
         return out
 
     return one_series
@@ -160,6 +180,20 @@ def forecast_metrics(forecasts: DataFrame, keys: tuple[str, ...] = ("series_id",
     return compute_metrics(long, "y", "forecast", (*keys, "model"))
 
 
+def linear_trend_forecast(marked: DataFrame) -> DataFrame:
+    """Test rows with the least-squares line through the training rows, by days: the other yardstick."""
+    day = F.datediff("ds", F.lit("1970-01-01")).cast("double")
+    days = marked.withColumn("_day", day)
+    line = (
+        days.filter(~F.col("is_test") & F.col("y").isNotNull() & ~F.isnan("y"))
+        .groupBy("series_id")
+        .agg(F.regr_slope("y", "_day").alias("_slope"), F.avg("y").alias("_y"), F.avg("_day").alias("_x"))
+    )
+    value = F.col("_y") + F.coalesce("_slope", F.lit(0.0)) * (F.col("_day") - F.col("_x"))
+    tested = days.filter("is_test").join(line, "series_id").withColumn("linear_trend", value)
+    return tested.drop("is_test", "_day", "_slope", "_y", "_x")
+
+
 def last_value_forecast(marked: DataFrame) -> DataFrame:
     """Test rows with the last training value as forecast: the yardstick of the models."""
     last = (

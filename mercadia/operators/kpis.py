@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mercadia.functions.columns import amount, cents, period_start, ratio
 from mercadia.functions.params import PURCHASE, Period, granularity_of
-from mercadia.plans.facts import PERSON, delivered, orders_of, roll_up
+from mercadia.plans.facts import PERSON, delivered, of_known_customers, orders_of, roll_up
 from mercadia.sources.shop import Shop
 
 # Fixed value: assumed share of revenue that is cost of goods.
@@ -117,8 +117,7 @@ def new_vs_returning_revenue(shop: Shop, period: Period, freq: str = "ME") -> Da
     )
     is_new = F.coalesce(F.col("is_first"), F.lit(False))
     return (
-        _delivered_totals(shop, period)
-        .filter(F.col("customer_id").isNotNull())
+        of_known_customers(shop, _delivered_totals(shop, period))
         .join(first, "order_id", "left")
         .groupBy(period_start(granularity_of(freq), PURCHASE).alias("time_period"))
         .agg(

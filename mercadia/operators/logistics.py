@@ -94,10 +94,10 @@ def delivery_breakdown(
     )
     names = [name for name, _, _ in STAGES]
     states = _in_region(roll_up(shop, orders, STATE, sums=("orders", "complete", *names)), region)
+    # A region names one state; only the report of all states is a top-n.
+    chosen = states if region else states.orderBy(F.desc("orders"), F.asc_nulls_last(STATE)).limit(top_n)
     return (
-        states.orderBy(F.desc("orders"), F.asc_nulls_last(STATE))
-        .limit(1000 if region else top_n)
-        .filter((F.col("complete") > 0) & F.col(STATE).isNotNull())
+        chosen.filter((F.col("complete") > 0) & F.col(STATE).isNotNull())
         .select(STATE, *(_mean_days(name, "complete").alias(name) for name in names))
     )
 

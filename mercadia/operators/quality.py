@@ -63,9 +63,8 @@ def orphan_report(shop: Shop) -> DataFrame:
 
 def _with_parent(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
     """Child rows whose reference is NULL or exists."""
-    found = parent.select(F.col(key).alias("_parent"), F.lit(True).alias("_found"))
-    kept = child.join(found, F.col(column) == F.col("_parent"), "left")
-    return kept.filter(F.col("_found") | F.col(column).isNull()).select(child.columns)
+    found = child.join(parent.select(F.col(key).alias("_parent")), F.col(column) == F.col("_parent"), "left_semi")
+    return found.unionByName(child.filter(F.col(column).isNull()))
 
 
 def cascade(shop: Shop) -> Shop:

@@ -26,9 +26,6 @@ FEATURES = (
 )
 SEGMENTS, SEED = 3, 42
 
-# Centres are broadcast up to this many.
-MAX_SEGMENTS = 1_000
-
 
 def standardise(df: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
     """Centre each feature and divide by its population deviation; constants become 0.
@@ -67,11 +64,7 @@ def label_segments(model, df: DataFrame) -> DataFrame:
     centres = model.stages[-1].clusterCenters()
     by_value = sorted(range(len(centres)), key=lambda c: tuple(centres[c]))
     rank = {cluster: position for position, cluster in enumerate(by_value)}
-    number = reduce(
-        lambda other, cluster: F.when(F.col("cluster") == cluster, rank[cluster]).otherwise(other),
-        rank,
-        F.lit(None).cast("int"),
-    )
+    number = F.array(*(F.lit(rank[cluster]) for cluster in range(len(centres))))[F.col("cluster")]
     return clustered.withColumn("segment", number).drop("raw", "cluster")
 
 
@@ -80,7 +73,7 @@ def segment_customers(df: DataFrame, k: int = SEGMENTS, keep_unclustered: bool =
     labelled = label_segments(fit_segments(df, k), df).drop("scaled")
     if not keep_unclustered:
         return labelled
-    lacking = reduce(lambda a, b: a | b, (F.col(f).isNull() for f in FEATURES))
+    lacking = reduce(lambda a, b: a | b, (F.col(f).isNull() | F.isnan(f) for f in FEATURES))
     return labelled.unionByName(df.filter(lacking).withColumn("segment", F.lit(None).cast("int")))
 
 
@@ -113,13 +106,6 @@ def calinski_harabasz(
     return scatter.agg(score.alias("calinski_harabasz"))
 
 
-def _few(centres: DataFrame) -> DataFrame:
-    """The centres, small enough to send everywhere; an error if they are not."""
-    count = centres.agg(F.count(F.lit(1))).scalar()
-    problem = F.raise_error(F.lit(f"more than {MAX_SEGMENTS} segments"))
-    return F.broadcast(centres.filter(F.when(count <= MAX_SEGMENTS, True).otherwise(problem.cast("boolean"))))
-
-
 def davies_bouldin(df: DataFrame, features: tuple[str, ...], segment: str = "segment") -> DataFrame:
     """Mean over segments of the worst (spread + spread) / centre distance."""
     centres = df.groupBy(segment).agg(*(F.avg(f).alias(f"c_{f}") for f in features))
@@ -131,7 +117,7 @@ def davies_bouldin(df: DataFrame, features: tuple[str, ...], segment: str = "seg
         return F.sqrt(sum(squares, F.lit(0.0)))
 
     spread = (
-        df.join(_few(centres), segment)
+        df.join(centres, segment)
         .groupBy(segment)
         .agg(
             F.avg(distance("", "c_")).alias("spread"),

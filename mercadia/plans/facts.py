@@ -65,6 +65,13 @@ def delivered(df: DataFrame) -> DataFrame:
     return df.filter(F.col("order_status") == "delivered")
 
 
+def of_known_customers(shop: Shop, df: DataFrame) -> DataFrame:
+    """Rows whose customer has a row of its own."""
+    if "has_customer" in df.columns:
+        return df.filter("has_customer")
+    return df.join(shop.customers.select("customer_id"), "customer_id", "left_semi")
+
+
 def with_category(shop: Shop, df: DataFrame) -> DataFrame:
     """Attach both category names. Rows of unknown products drop out."""
     if CATEGORY_EN in df.columns:

@@ -24,9 +24,9 @@ def clean_raw(spark: SparkSession, raw_path: str) -> Shop:
 
     customers = cleaning.clean_customers(ordered("customers"))
     sellers = cleaning.passed_through(raw("sellers"))
-    # Raw payments have no number of their own; it becomes a column of the cleaned table.
+    # Raw payments have no number of their own; one follows from what identifies them.
     payments = cleaning.passed_through(raw("payments")).withColumn(
-        "payment_id", F.monotonically_increasing_id()
+        "payment_id", F.xxhash64("order_id", "payment_sequential")
     )
     cleaned = {
         "customers": customers,

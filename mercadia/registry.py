@@ -171,6 +171,7 @@ def _features() -> dict[str, Query]:
         "person_order_value": on(features.person_order_value),
         "person_mean_price": on(features.person_mean_price),
         "person_payment_types": on(features.person_payment_types),
+        "preferred_payment_types": on(features.preferred_payment_types),
         "person_mean_freight": on(features.person_mean_freight),
         "person_canceled_share": on(features.person_canceled_share),
         "order_values": on(features.order_values),
@@ -269,7 +270,12 @@ def _forecasts() -> dict[str, Query]:
         naive = forecast.last_value_forecast(forecast.train_test_split(state_series(shop)))
         return _rounded(forecast.compute_metrics(naive, "y", "last_value", ("series_id",)))
 
+    def trend_metrics(shop: Shop) -> DataFrame:
+        line = forecast.linear_trend_forecast(forecast.train_test_split(state_series(shop)))
+        return _rounded(forecast.compute_metrics(line, "y", "linear_trend", ("series_id",)))
+
     return {
+        "metrics_of_linear_trend": on(trend_metrics),
         "train_test_split": on(lambda shop: forecast.train_test_split(state_series(shop))),
         "metrics_of_last_value": on(naive_metrics),
         "forecast_sales": on(both),
@@ -333,6 +339,24 @@ def _facts() -> dict[str, Query]:
     }
 
 
+def _over_facts() -> dict[str, Query]:
+    """Operators that read the order and sales facts instead of the base tables."""
+
+    def fact_shop(spark: SparkSession, sf_dir: str) -> Shop:
+        shop = sample_shop(spark, sf_dir)
+        return shop.but(order_fact=facts.build_order_fact(shop), sales_fact=facts.build_sales_fact(shop))
+
+    on = partial(_on, fact_shop)
+    return {
+        "main_kpis_of_facts": on(kpis.main_kpis, PERIOD),
+        "revenue_orders_trend_month_of_facts": on(kpis.revenue_orders_trend, PERIOD, "ME"),
+        "new_vs_returning_revenue_of_facts": on(kpis.new_vs_returning_revenue, PERIOD),
+        "category_performance_of_facts": on(products.category_performance, PERIOD),
+        "delivery_breakdown_of_facts": on(logistics.delivery_breakdown, PERIOD),
+        "update_customers_of_facts": on(features.update_customers),
+    }
+
+
 def all_queries() -> dict[str, Query]:
     groups = (
         _business_health,
@@ -345,6 +369,7 @@ def all_queries() -> dict[str, Query]:
         _forecasts,
         _cleaning,
         _facts,
+        _over_facts,
     )
     found: dict[str, Query] = {}
     for group in groups:

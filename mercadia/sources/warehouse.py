@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.functions.params import MONTH
+from mercadia.functions.params import MONTH, PURCHASE
 from mercadia.operators.quality import require_sound
 from mercadia.plans.facts import build_order_fact, build_sales_fact
 from mercadia.sources.schemas import LOAD_ORDER, TABLES
@@ -36,9 +36,11 @@ def save_csv(df: DataFrame, path: str) -> None:
 
 
 def save_tables(shop: Shop, path: str) -> None:
-    """The cleaned zone, one Parquet folder per table."""
+    """The cleaned zone, one Parquet folder per table; orders by month of purchase."""
     for name, df in shop.tables().items():
-        save(df, f"{path}/{name}")
+        if name == "orders":
+            df = df.withColumn(MONTH, F.trunc(F.col(PURCHASE).cast("date"), "month"))
+        save(df, f"{path}/{name}", by=MONTH if name == "orders" else None)
 
 
 def typed(df: DataFrame, table: str) -> DataFrame:
@@ -105,8 +107,11 @@ def with_facts(spark: SparkSession, shop: Shop, path: str) -> Shop:
 
 
 def save_features(features: DataFrame, path: str) -> None:
-    """Feature store rows, one folder per feature and day of computation."""
+    """Feature store rows, one folder per feature and day of computation.
+
+    A further day adds to the store; the same day's rows are replaced, so a job can run again.
+    """
     dated = features.withColumn("computed_date", F.col("computed_at").cast("date"))
-    dated.hint("rebalance", "feature_name").write.mode("overwrite").partitionBy(
-        "feature_name", "computed_date"
-    ).parquet(path)
+    dated.hint("rebalance", "feature_name").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("feature_name", "computed_date").parquet(path)

@@ -526,6 +526,13 @@ def oracle() -> dict[str, str]:
         """SELECT customer_unique_id, payment_type, count(*) AS total_payments
            FROM placed JOIN shop_payments USING (order_id) GROUP BY 1, 2"""
     )
+    q["preferred_payment_types"] = over_shop(
+        """SELECT customer_unique_id, payment_type AS preferred_payment_type, payments FROM (
+             SELECT customer_unique_id, payment_type, count(*) AS n,
+                    CAST(sum(count(*)) OVER (PARTITION BY customer_unique_id) AS BIGINT) AS payments
+             FROM placed JOIN shop_payments USING (order_id) GROUP BY 1, 2)
+           QUALIFY row_number() OVER (PARTITION BY customer_unique_id ORDER BY n DESC, payment_type NULLS LAST) = 1"""
+    )
     q["person_mean_freight"] = over_shop(
         f"""SELECT customer_unique_id, {per('sum(freight_value)', 'count(freight_value)')} AS avg_shipping_cost
             FROM sold GROUP BY 1"""
@@ -648,6 +655,18 @@ def oracle() -> dict[str, str]:
         STATE_SERIES_ALL, SPLIT, naive,
     )
 
+    line = """trend AS (
+      SELECT s.series_id, s.y, t.ym + coalesce(t.slope, 0) * (s.ds - DATE '1970-01-01' - t.xm) AS line FROM split s JOIN
+        (SELECT series_id, regr_slope(y, ds - DATE '1970-01-01') AS slope, avg(y) AS ym, avg(ds - DATE '1970-01-01') AS xm
+         FROM split WHERE NOT is_test AND y IS NOT NULL GROUP BY 1) t USING (series_id) WHERE is_test)"""
+    q["metrics_of_linear_trend"] = over_shop(
+        """SELECT series_id, round(avg(abs(y - line) / greatest(abs(y), 2.220446049250313e-16)) * 100, 6) AS mape_pct,
+                  round(sqrt(avg(pow(y - line, 2))), 6) AS rmse, round(avg(abs(y - line)), 6) AS mae,
+                  round(1 - sum(pow(y - line, 2)) / (var_pop(y) * count(y)), 6) AS r2
+           FROM trend GROUP BY 1""",
+        STATE_SERIES_ALL, SPLIT, line,
+    )
+
     # Cleaning over the raw tables made from the sample tables
     q["clean_customers"] = """
       SELECT o_custkey AS customer_id, o_orderpriority AS customer_city FROM orders
@@ -790,4 +809,9 @@ def oracle() -> dict[str, str]:
                   CAST(date_trunc('month', s.purchased) AS DATE) AS purchase_month, s.shipping_limit_date
            FROM sold s LEFT JOIN shop_products p USING (product_id)"""
     )
+    for name in (
+        "main_kpis", "revenue_orders_trend_month", "new_vs_returning_revenue", "category_performance",
+        "delivery_breakdown", "update_customers",
+    ):
+        q[f"{name}_of_facts"] = q[name]
     return q

@@ -30,7 +30,7 @@ def test_outliers_go_nan_goes_and_bounds_stay(spark):
 @pytest.mark.parametrize("bad", [0.0, -1.0])
 def test_non_positive_values_are_an_error(spark, bad):
     df = spark.createDataFrame([(1.0,), (bad,)], "y double")
-    with pytest.raises(Exception, match="Non-positive"):
+    with pytest.raises(Exception, match="above 0"):
         datasets.remove_outliers_log(df, "y").collect()
 
 
@@ -116,10 +116,32 @@ def test_scores_ignore_the_names_of_segments(clouds):
         assert score(rows, names).first()[0] == pytest.approx(score(renamed, names).first()[0])
 
 
-def test_too_many_segments_are_not_broadcast(spark):
-    rows = spark.range(segments.MAX_SEGMENTS + 5).select(F.col("id").alias("segment"), F.rand(1).alias("a"))
-    with pytest.raises(Exception, match="more than"):
-        segments.davies_bouldin(rows, ("a",)).collect()
+def test_scores_of_many_segments(spark):
+    rows = spark.range(4_000).select((F.col("id") % 2_000).alias("segment"), (F.col("id") * 1.0).alias("a"))
+    # Each segment has two points 2000 apart, and its neighbours' centres are 1 away.
+    assert segments.davies_bouldin(rows, ("a",)).first()[0] == pytest.approx(2_000.0)
+
+
+def test_rows_with_nan_are_kept_without_segment(spark, clouds):
+    odd = clouds.na.drop().limit(1).withColumn("clv", F.lit(float("nan")))
+    found = segments.segment_customers(clouds.unionByName(odd), 3)
+    assert found.count() == clouds.count() + 1
+    complete = clouds.na.drop(subset=list(segments.FEATURES)).count()
+    assert found.filter("segment is not null").count() == complete
+
+
+def test_arima_goes_over_gaps():
+    y = np.arange(20.0) * 3
+    y[7] = np.nan
+    assert forecast.arima_forecast(y, 3) == pytest.approx([60, 63, 66], abs=0.5)
+    assert np.isnan(forecast.arima_forecast(np.array([1.0, np.nan, 2.0]), 2)).all()
+
+
+def test_a_failing_fit_leaves_the_others(spark, monkeypatch):
+    def fails(*_):
+        raise np.linalg.LinAlgError("singular")
+
+    assert np.isnan(forecast._or_nan(fails, 2)).all()
 
 
 def test_segmentation_job(spark, clouds, tmp_path):
@@ -175,9 +197,9 @@ def test_arima_beats_the_last_value_on_average():
     assert ours < naive
 
 
-def test_short_or_broken_series_have_no_arima():
+def test_series_without_two_steps_have_no_arima():
     assert np.isnan(forecast.arima_forecast(np.array([1.0, 2.0]), 3)).all()
-    assert np.isnan(forecast.arima_forecast(np.array([1.0, np.nan, 2.0, 3.0, 4.0, 5.0]), 3)).all()
+    assert np.isnan(forecast.arima_forecast(np.array([1.0, np.nan, 2.0, np.nan, 4.0, 5.0]), 3)).all()
 
 
 def test_seasonal_model_recovers_trend_and_year():

@@ -55,7 +55,7 @@ def test_purchase_documents_split_and_stay_whole(hot):
         if kind == "delivered":
             expected[person, i["product_id"]] += 1
     found, documents = Counter(), Counter()
-    for row in features.purchase_documents(shop, per_document=10).collect():
+    for row in features.purchase_documents(shop, parts=4).collect():
         documents[row["customer_unique_id"]] += 1
         for entry in json.loads(row["product_purchases"]):
             found[row["customer_unique_id"], entry["product_id"]] += entry["total_purchases"]
