@@ -71,7 +71,8 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_report(documents(spark, sf_dir))
+    report = quality_rules.quality_report(documents(spark, sf_dir))
+    return report.withColumn("broken_rules", F.array_join("broken_rules", ","))
 
 
 def op7_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +84,15 @@ def op8_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = positional_index.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), slop=None)
+    return positional_index.digest(report).drop("n_near_items")
+
+
+def near_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator's proximity matches: documents with an item's rarest terms near their places."""
     report = positional_index.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
-    return positional_index.digest(report)
+    found = report.filter(F.size("near_items") > 0)
+    return found.select("doc_id", F.array_join("near_items", ",").alias("near_items"), (F.col("n_hit") > 0).alias("exact"))
 
 
 def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,11 +116,8 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op7_licence_sentences,
         op8_tiered_packing,
         op9_positional_index_decontamination,
+        near_benchmark_passages,
         op10_site_quality,
         pipeline,
     )
     return {query.__name__: query for query in found}
-
-
-def llm_oracle() -> dict[str, str]:
-    return {}
