@@ -124,7 +124,9 @@ class LabelModel:
         if not labelled.any():
             belief = np.where(any_vote, 0.9, 0.05)
         self.discount = np.ones(cast.shape[1])
-        self._rates(cast[~np.isnan(belief)], belief[~np.isnan(belief)])
+        known_rows = ~np.isnan(belief)
+        self._rates(cast[known_rows], belief[known_rows])
+        self.discount[:-1] = 1 / (1 + self._correlated(cast[known_rows, :-1], belief[known_rows]))
         for turn in range(self.rounds):
             belief = self.posterior(cast)
             self._rates(cast, belief)
