@@ -15,7 +15,7 @@ have an earlier point, and a weight costs the logarithm of its size.
 Bands of five components propose pairs. Documents of equal words are one node from the start. In
 each bucket all nodes are compared with its least one, which links a group of copies in one round;
 then, in buckets that still hold several classes, the leader is set aside and further leaders are
-compared, twice as many in each round, until every remaining pair of a bucket is checked or of one
+compared, more of them in each round, until every remaining pair of a bucket is checked or of one
 class already. So no proposed link is lost, no group of copies is expanded into pairs, and nothing
 is gathered in one place. With 25 bands a pair at 0.8 is proposed with
 probability 0.99995, one at 0.9 practically always.
@@ -39,6 +39,8 @@ from mercadia.llm.shared import Tables, prepared
 
 RUN_WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 25, 5
+#: How many times as many leaders each round has.
+GROWTH = 8
 
 _A, _B, _C = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _ODD = 0xD1342543DE82EF95
@@ -251,7 +253,7 @@ def linked_nodes(proposals: DataFrame, docs: DataFrame, first_ids: DataFrame, si
     leaders = 1
     while state.take(1):
         # state: the nodes of a bucket that are not set aside yet. Its leaders are the least node
-        # and, after the first round, others that a hash draws, twice as many in each round.
+        # and, after the first round, others that a hash draws, GROWTH times as many in each round.
         named = state.join(labels, "node")
         sizes = named.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n"))
         drawn = (F.xxhash64("node").bitwiseAND(F.lit((1 << 62) - 1)) / F.lit(float(1 << 62))) < F.lit(leaders - 1) / F.col("n")
@@ -271,7 +273,7 @@ def linked_nodes(proposals: DataFrame, docs: DataFrame, first_ids: DataFrame, si
         spans = rest.join(labels, "node").groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"))
         after = tables.stored(rest.join(spans.filter("x <> y").select("key"), "key"))
         tables.drop(state, members, links, *([before] if before is not labels else []))
-        state, leaders = after, leaders * 2
+        state, leaders = after, leaders * GROWTH
     tables.drop(bags, wanted)
     return labels
 
