@@ -13,10 +13,11 @@ a probability equal to their weighted Jaccard similarity. Processes stop as soon
 have an earlier point, and a weight costs the logarithm of its size.
 
 Bands of five components propose pairs. Documents of equal words are one node from the start. In
-each bucket all nodes are compared with its least one, which links a group of copies in one round;
+each bucket all nodes are compared with the one that shares most buckets with others, as the
+original of many copies does, which links a group of copies in one round;
 then, in buckets that still hold several classes, the leader is set aside and further leaders are
 compared, more of them in each round, until every remaining pair of a bucket is checked or of one
-class already. So no proposed link is lost, no group of copies is expanded into pairs, and nothing
+class already; pairs whose weights rule out enough overlap are passed over. So no proposed link is lost, no group of copies is expanded into pairs, and nothing
 is gathered in one place. With 25 bands a pair at 0.8 is proposed with
 probability 0.99995, one at 0.9 practically always.
 
@@ -40,7 +41,7 @@ from mercadia.llm.shared import Tables, prepared
 RUN_WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 25, 5
 #: How many times as many leaders each round has.
-GROWTH = 8
+GROWTH = 4
 
 _A, _B, _C = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _ODD = 0xD1342543DE82EF95
@@ -176,7 +177,7 @@ def row_hashes() -> list[Column]:
 
 
 def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """Rows (doc_id, k1, k2, node, bands) of all documents."""
+    """Rows (doc_id, k1, k2, node, weight, bands) of all documents; the weight is the number of runs."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,13 +185,14 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             words, owner = hashed_words(texts)
             found = counted(*runs(words, owner, len(texts)))
             keys = band_keys(signatures(*found, len(texts), bands * rows), bands, rows)
+            weight = np.bincount(found[1], weights=found[2], minlength=len(texts)).astype(np.int64)
             nodes = content_nodes(words, owner, len(texts))
             lists = [k.tolist() if node else [] for k, node in zip(keys, nodes)]
-            columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(nodes, pa.binary())]
-            yield pa.record_batch([*columns, pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "node", "bands"])
+            columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(nodes, pa.binary()), pa.array(weight)]
+            yield pa.record_batch([*columns, pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "node", "weight", "bands"])
 
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_hashes())
-    return rows_.mapInArrow(of, "doc_id long, k1 long, k2 long, node binary, bands array<long>")
+    return rows_.mapInArrow(of, "doc_id long, k1 long, k2 long, node binary, weight long, bands array<long>")
 
 
 def multisets(docs: DataFrame) -> DataFrame:
@@ -242,7 +244,10 @@ def alike(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
 def linked_nodes(proposals: DataFrame, docs: DataFrame, first_ids: DataFrame, similarity: float, tables: Tables) -> DataFrame:
     """Rows (node, root) of all nodes that some verified link joins to another node."""
     buckets = proposals.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    state = tables.stored(proposals.join(buckets.select("key"), "key"))
+    met = proposals.join(buckets.select("key", "n"), "key")
+    # The original of many copies shares more buckets with them than they share with each other.
+    company = met.groupBy("node").agg((-F.sum("n")).alias("order"))
+    state = tables.stored(met.select("key", "node", "weight").join(company, "node").select("key", "node", "weight", "order"))
     nodes = state.select("node").distinct()
     wanted = tables.stored(first_ids.join(nodes, "node"))
     keyed = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
@@ -252,14 +257,19 @@ def linked_nodes(proposals: DataFrame, docs: DataFrame, first_ids: DataFrame, si
     labels = tables.stored(nodes.select("node", F.col("node").alias("root")))
     leaders = 1
     while state.take(1):
-        # state: the nodes of a bucket that are not set aside yet. Its leaders are the least node
-        # and, after the first round, others that a hash draws, GROWTH times as many in each round.
+        # state: the nodes of a bucket that are not set aside yet. Its leaders are the node in most
+        # company and, after the first round, others that a hash draws, GROWTH times as many in each round.
         named = state.join(labels, "node")
-        sizes = named.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n"))
+        sizes = named.groupBy("key").agg(F.min(F.struct("order", "node")).alias("first"), F.count("*").alias("n"))
         drawn = (F.xxhash64("node").bitwiseAND(F.lit((1 << 62) - 1)) / F.lit(float(1 << 62))) < F.lit(leaders - 1) / F.col("n")
-        members = tables.stored(named.join(sizes, "key").select("key", "node", "root", ((F.col("node") == F.col("least")) | drawn).alias("leads")))
-        first = members.filter("leads").select("key", F.col("node").alias("a"), F.col("root").alias("a_root"))
-        met = first.join(members, "key").filter("root <> a_root and (not leads or a < node)")
+        members = tables.stored(named.join(sizes, "key").select("key", "node", "weight", "order", "root", ((F.col("node") == F.col("first.node")) | drawn).alias("leads")))
+        first = members.filter("leads").select(
+            F.col("key").alias("a_key"), F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("weight").alias("a_weight")
+        )
+        # Texts whose weights differ more than this cannot overlap enough.
+        near = F.least("weight", "a_weight") >= F.greatest("weight", "a_weight") * F.lit(similarity - 1e-9)
+        open_ = (F.col("root") != F.col("a_root")) & (~F.col("leads") | (F.col("a") < F.col("node")))
+        met = first.join(members, (F.col("key") == F.col("a_key")) & near & open_)
         links = tables.stored(alike(met.select("a", F.col("node").alias("b")).distinct(), bags, similarity))
         before = labels
         if links.take(1):
@@ -269,7 +279,7 @@ def linked_nodes(proposals: DataFrame, docs: DataFrame, first_ids: DataFrame, si
             merged = components(ends, tables).select(F.col("node").alias("root"), F.col("root").alias("new"))
             labels = tables.stored(labels.join(merged, "root", "left").select("node", F.coalesce("new", "root").alias("root")))
         # A bucket whose nodes are all of one class has nothing left to compare.
-        rest = members.filter("not leads").select("key", "node")
+        rest = members.filter("not leads").select("key", "node", "weight", "order")
         spans = rest.join(labels, "node").groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"))
         after = tables.stored(rest.join(spans.filter("x <> y").select("key"), "key"))
         tables.drop(state, members, links, *([before] if before is not labels else []))
@@ -290,16 +300,16 @@ def duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: in
     all_rows = tables.stored(signed(docs, bands, band_rows))
     rows = all_rows.filter("node is not null")
     # Copies fold into one node before anything else is shuffled.
-    unique = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    unique = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     unique = tables.stored(unique)
-    proposals = unique.select("node", F.explode("bands").alias("key"))
+    proposals = unique.select("node", "weight", F.explode("bands").alias("key"))
     labels = linked_nodes(proposals, docs, unique.select("node", "doc_id"), similarity, tables)
     counts = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     rooted = counts.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "n")
     classes = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
     of_node = rooted.join(classes, "root").select("node", "root", "class_id", "class_size")
-    named = rows.drop("bands").join(of_node, "node")
-    lone = all_rows.filter("node is null").drop("bands").withColumns(
+    named = rows.drop("bands", "weight").join(of_node, "node")
+    lone = all_rows.filter("node is null").drop("bands", "weight").withColumns(
         {"root": F.lit(None).cast("binary"), "class_id": F.col("doc_id"), "class_size": F.lit(1).cast("long")}
     )
     found = tables.stored(named.unionByName(lone))
