@@ -1,13 +1,10 @@
-"""Helpers that the operators share: stored intermediate tables, bounded broadcasts, word lists.
-
-Rows are told apart by their doc_id and text together, so a repeated doc_id, a null doc_id or a
-repeated row never mixes documents up.
-"""
+"""Helpers that the operators share: stored intermediate tables, bounded broadcasts, settled values."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,8 +71,9 @@ def learning_row(doc_id: Column | str = "doc_id") -> Column:
 
 
 def settled(value: Column) -> Column:
-    """A value computed where it stands: the optimiser neither copies it into the expressions that
+    """A value that is computed where it stands.
 
-    read it, where a lambda would compute it for every element, nor pulls filters on it apart.
+    The optimiser neither copies it into the expressions that read it, where a lambda would compute
+    it for every element, nor moves filters on it below.
     """
     return F.when(F.monotonically_increasing_id() >= 0, value)
