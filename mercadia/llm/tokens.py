@@ -47,9 +47,10 @@ class Units(dict):
 
     def __missing__(self, unit: str) -> bytes:
         core = unit.rstrip(CLOSING)
-        if unit[1:].isalpha():
+        # A mark or digit before letters may be a word of its own, or open a contraction.
+        if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()):
             value = self.of_word(unit)
-        elif core[1:].isalpha():
+        elif core != unit and core[1:].isalpha():
             value = self[core] + self[unit[len(core) :]]
         else:
             words = self.words(unit)

@@ -28,6 +28,11 @@ def test_ids_are_the_tokenizers(text):
     assert np.frombuffer(OURS.encode(text), OURS.width).tolist() == plain_ids(text)
 
 
+@pytest.mark.parametrize("text", [m + w + c for m in ("'", "1", "!", "\n") for w in ("this", "very", "verily", "that", "red", "day", "some") for c in ("", ".", "!?", " on")])
+def test_first_words_after_a_mark_are_cut_as_the_tokenizer_cuts(text):
+    assert np.frombuffer(OURS.encode(text), OURS.width).tolist() == plain_ids(text)
+
+
 def test_other_tokenizer_files_encode_whole_texts():
     path = tokenizer_file("word_bpe_49k.json")
     text = "Some  Words, in Mixed\ncase"
