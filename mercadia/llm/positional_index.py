@@ -3,13 +3,18 @@
 Words are runs of a-z, 0-9 and all characters from U+0080 on, after A-Z are put in lower case. A
 benchmark item gives windows of ten words; an item of fewer words is one window of all of them.
 
-1. Count the benchmark's terms over all documents. A window with a term that never occurs is out.
+1. Count the benchmark's terms over all documents. A window with a term that never occurs has no
+   exact match; it may have proximity matches.
 2. Each window keeps its rarest terms as anchors. Only their postings (document, position) are
    stored: a full index would be larger than the corpus.
 3. Shift each posting back by its term's offset in the window. The shifted lists are intersected:
-   a start on which all anchors agree is a candidate. Starts within `slop` words of each other
-   make a proximity match, where words were put in, left out or moved.
-4. A candidate counts if the document's words there are the window's words.
+   a start on which all anchors agree is a candidate. A candidate counts if the document's words
+   there are the window's words.
+4. A proximity match is a window of which at least the share `share` of words (rounded up) stands in
+   the document, with starts within `slop` words of each other: words were put in, left out,
+   replaced or moved. A word of the document stands for one word of the window. Of `missing + 2`
+   words, where `missing` may be absent, two must occur; so the rarest of them are the anchors, two
+   of which make a candidate, and no match is lost. All words of candidates are then counted.
 
 Postings are shuffled once, by document: lists are intersected where a document's postings meet, and
 its text joins them by the same partitioning. A document's postings are no more than its words, so
@@ -28,6 +33,8 @@ from pyspark.sql import Window
 from mercadia.llm.shared import Tables, broadcast_if_small, settled
 
 WINDOW_WORDS, ANCHORS, SLOP = 10, 2, 5
+#: Hundredths of a window's words that a proximity match has.
+SHARE = 80
 #: Rows of the benchmark's tables that may be broadcast: some tens of megabytes.
 BROADCAST_ROWS = 500_000
 
@@ -66,16 +73,20 @@ def exploded(docs: DataFrame) -> DataFrame:
     return docs.select(*(c.alias(k) for k, c in hashes().items()), F.posexplode(words_of(F.col("text"))).alias("position", "term"))
 
 
-def anchored(windows: DataFrame, docs: DataFrame, anchors: int, rows: int) -> DataFrame:
-    """Rows (window, term, offset, n): the rarest terms of windows whose terms all occur."""
+def counted(windows: DataFrame, docs: DataFrame, rows: int) -> DataFrame:
+    """Rows (window, term, offset, seen): all words of the windows; seen is null for words of no document."""
     places = windows.select("window", F.posexplode("terms").alias("offset", "term"))
     vocabulary = broadcast_if_small(places.select("term").distinct(), rows)
     words = docs.select(F.explode(words_of(F.col("text"))).alias("term"))
     seen = words.join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("seen"))
+    return places.join(seen, "term", "left")
+
+
+def anchored(places: DataFrame, anchors: int) -> DataFrame:
+    """Rows (window, term, offset, rank, n): the rarest terms of windows whose terms all occur."""
     own = Window.partitionBy("window")
     return (
-        places.join(seen, "term", "left")
-        .withColumn("missing", F.max(F.col("seen").isNull()).over(own))
+        places.withColumn("missing", F.max(F.col("seen").isNull()).over(own))
         .filter(~F.col("missing"))
         .withColumn("rank", F.row_number().over(own.orderBy("seen", "offset")))
         .filter(F.col("rank") <= anchors)
@@ -84,6 +95,20 @@ def anchored(windows: DataFrame, docs: DataFrame, anchors: int, rows: int) -> Da
     )
 
 
+def near_anchored(places: DataFrame, share: int) -> DataFrame:
+    """Rows (window, term, offset, rank, n, need): rarest terms, n of which any proximity match has, and its words."""
+    own = Window.partitionBy("window")
+    return (
+        places.withColumn("size", F.count("*").over(own))
+        .withColumn("need", F.expr(f"greatest(1, (size * {int(share)} + 99) div 100)"))
+        .withColumn("missing", F.col("size") - F.col("need"))
+        .withColumn("rank", F.row_number().over(own.orderBy(F.col("seen").asc_nulls_first(), "offset")))
+        .withColumn("n", F.least(F.lit(2).cast("long"), F.col("need")))
+        .filter("rank <= missing + n and seen is not null")
+        .select("window", "term", "offset", "rank", "n", "need")
+    )
+
+
 def shifted_postings(postings: DataFrame, anchors: DataFrame, rows: int) -> DataFrame:
     """Postings, dealt by document, as starts of the windows that their terms anchor."""
     return postings.join(broadcast_if_small(anchors, rows), "term_id").select(
@@ -107,44 +132,92 @@ def candidates(shifted: DataFrame) -> DataFrame:
     )
 
 
-def near_windows(shifted: DataFrame, slop: int) -> DataFrame:
-    """Rows (k1, k2, window) where all anchors occur with starts within a stretch of 2 * slop words."""
-    stretch = F.floor(F.col("start") / F.lit(slop))
-    each = shifted.select("k1", "k2", "window", "n", "rank", F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
+def near_candidates(shifted: DataFrame, slop: int) -> DataFrame:
+    """Rows (k1, k2, window, base) where n anchors occur with starts in the 2 * slop + 2 words from base."""
+    stretch = F.floor(F.col("start") / F.lit(slop + 1))
+    each = shifted.select("k1", "k2", "window", "n", "rank", F.explode(F.array(stretch - 1, stretch)).alias("stretch"))
     return (
         each.groupBy("k1", "k2", "window", "stretch")
         .agg(anchors_met().alias("met"), F.first("n").alias("n"))
-        .filter("met = n")
-        .select("k1", "k2", "window")
-        .distinct()
+        .filter("met >= n")
+        .select("k1", "k2", "window", (F.col("stretch") * F.lit(slop + 1)).cast("int").alias("base"))
     )
 
 
-def found(docs: DataFrame, benchmark: DataFrame, size: int, anchors: int, slop: int | None, rows: int) -> DataFrame:
-    """Rows (k1, k2, spans, near): a document's candidates and the items near it; stored tables."""
+def near_spans(near: Column, words: Column, slop: int) -> Column:
+    """Candidates with the document's words around them; words before the text are empty."""
+
+    def around(c: Column) -> Column:
+        begin = F.greatest(c["base"], F.lit(0))
+        length = c["base"] + F.size(c["terms"]) + F.lit(2 * slop + 1) - begin
+        return F.concat(F.array_repeat(F.lit(""), begin - c["base"]), F.slice(words, begin + 1, length))
+
+    return F.transform(near, lambda c: F.struct(c["need"].alias("need"), c["terms"].alias("terms"), c["items"].alias("items"), around(c).alias("around")))
+
+
+def may_match(c: Column) -> Column:
+    """As many different words as a match has, wherever they stand around a candidate."""
+    return F.size(F.array_intersect(c["terms"], c["around"])) >= c["need"] - F.size(c["terms"]) + F.size(F.array_distinct(c["terms"]))
+
+
+def near_match(c: Column, slop: int) -> Column:
+    """As many of the window's words as a match has, with starts from some s to s + slop."""
+    terms, around, last = c["terms"], c["around"], F.size(c["terms"]) - 1
+
+    def in_window(s: Column, t: Column) -> Column:
+        at = lambda j: (F.get(terms, j) == t) & F.array_contains(F.slice(around, s + j + 1, F.lit(slop + 1)), t)
+        return F.size(F.filter(F.sequence(F.lit(0), last), at))
+
+    def in_document(s: Column, t: Column) -> Column:
+        def at(i: Column) -> Column:
+            first = F.greatest(i - F.lit(slop), F.lit(0))
+            return (F.get(around, s + i) == t) & F.array_contains(F.slice(terms, first + 1, i + 1 - first), t)
+
+        return F.size(F.filter(F.sequence(F.lit(0), last + F.lit(slop)), at))
+
+    def total(s: Column) -> Column:
+        return F.aggregate(F.array_distinct(terms), F.lit(0), lambda n, t: n + F.least(in_window(s, t), in_document(s, t)))
+
+    return F.exists(F.sequence(F.lit(0), F.lit(slop + 1)), lambda s: total(s) >= c["need"])
+
+
+def found(docs: DataFrame, benchmark: DataFrame, size: int, anchors: int, slop: int | None, rows: int, share: int = SHARE) -> DataFrame:
+    """Rows (k1, k2, spans, near): a document's candidates for exact and for proximity matches; stored tables."""
     tables = Tables(docs.sparkSession, "positional-index")
     windows = tables.stored(windows_of(benchmark, size).withColumn("window", F.monotonically_increasing_id()))
-    chosen = tables.stored(anchored(windows, docs, anchors, rows))
-    terms = tables.stored(chosen.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()))
+    places = counted(windows, docs, rows)
+    if slop is not None:
+        places = tables.stored(places)
+        loose = tables.stored(near_anchored(places, share))
+    chosen = tables.stored(anchored(places, anchors))
+    wanted = chosen.select("term") if slop is None else chosen.select("term").union(loose.select("term"))
+    terms = tables.stored(wanted.distinct().withColumn("term_id", F.monotonically_increasing_id()))
     postings = tables.stored(exploded(docs).join(broadcast_if_small(terms, rows), "term").select("k1", "k2", "term_id", "position"))
+    dealt = postings.repartition("k1", "k2")
     placed = chosen.join(broadcast_if_small(terms, rows), "term").select("window", "term_id", "offset", "rank", "n")
-    shifted = shifted_postings(postings.repartition("k1", "k2"), placed, rows)
     span = F.struct("start", "size", "phrase", "items")
-    spans = candidates(shifted).join(broadcast_if_small(windows.drop("terms"), rows), "window")
+    spans = candidates(shifted_postings(dealt, placed, rows)).join(broadcast_if_small(windows.drop("terms"), rows), "window")
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(span).alias("spans"))
     if slop is None:
         return spans.withColumn("near", F.lit(None).cast("array<string>"))
-    near = near_windows(shifted, slop).join(broadcast_if_small(windows.select("window", "items"), rows), "window")
-    near = near.select("k1", "k2", F.explode("items").alias("item")).groupBy("k1", "k2")
-    return spans.join(near.agg(F.collect_set("item").alias("near")), ["k1", "k2"], "full")
+    placed = loose.join(broadcast_if_small(terms, rows), "term").select("window", "term_id", "offset", "rank", "n")
+    needs = windows.join(loose.select("window", F.col("need").cast("int").alias("need")).distinct(), "window").select("window", "need", "terms", "items")
+    near = near_candidates(shifted_postings(dealt, placed, rows), slop).join(broadcast_if_small(needs, rows), "window")
+    near = near.groupBy("k1", "k2").agg(F.collect_list(F.struct("base", "need", "terms", "items")).alias("near"))
+    return spans.join(near, ["k1", "k2"], "full")
 
 
-def matched(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """Add the words and the verified spans to rows of (k1, k2, text, ...)."""
+def matched(rows: DataFrame, hits: DataFrame, slop: int | None) -> DataFrame:
+    """Add the words, the verified spans and the items near to rows of (k1, k2, text, ...)."""
     both = rows.join(hits, ["k1", "k2"], "left").withColumn("words", settled(words_of(F.col("text"))))
     n = F.size("words").cast("long")
     true = F.filter("spans", lambda s: F.array_join(F.slice("words", s["start"] + 1, s["size"]), " ") == s["phrase"])
     both = both.withColumns({"n_words": n, "spans": settled(F.sort_array(true))})
+    near = F.col("near")
+    if slop is not None:
+        both = both.withColumn("near", settled(near_spans(near, F.col("words"), slop)))
+        both = both.withColumn("near", settled(F.filter(near, may_match)))
+        near = F.flatten(F.transform(F.filter(near, lambda c: near_match(c, slop)), lambda c: c["items"]))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("to"), F.lit(0).alias("n")),
@@ -159,20 +232,21 @@ def matched(rows: DataFrame, hits: DataFrame) -> DataFrame:
         {
             "n_hit": settled(F.coalesce(covered, F.lit(0)).cast("long")),
             "items": F.coalesce(items, F.array().cast("array<string>")),
-            "near_items": F.coalesce(F.array_sort("near"), F.array().cast("array<string>")),
+            "near_items": F.coalesce(F.array_sort(F.array_distinct(near)), F.array().cast("array<string>")),
         }
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, anchors: int = ANCHORS, slop: int | None = SLOP, rows: int = BROADCAST_ROWS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, anchors: int = ANCHORS, slop: int | None = SLOP, rows: int = BROADCAST_ROWS, share: int = SHARE) -> DataFrame:
     """Per document: n_words, n_hit, spans (start, size, phrase, items), items and near_items."""
     docs = docs.select("doc_id", "text")
-    hits = found(docs, benchmark, size, anchors, slop, rows)
+    hits = found(docs, benchmark, size, anchors, slop, rows, share)
     rows_ = docs.select("doc_id", "text", *(c.alias(k) for k, c in hashes().items()))
-    return matched(rows_, hits).select("doc_id", "n_words", "n_hit", "spans", "items", "near_items")
+    return matched(rows_, hits, slop).select("doc_id", "n_words", "n_hit", "spans", "items", "near_items")
 
 
-def digest(report: DataFrame) -> DataFrame:
+def digest(report: DataFrame, *lists: str) -> DataFrame:
+    """The report with counts and a hash for its lists; those named are added as text."""
     return report.select(
         "doc_id",
         "n_words",
@@ -181,6 +255,7 @@ def digest(report: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
         F.size("near_items").cast("long").alias("n_near_items"),
+        *(F.array_join(name, ",").alias(name) for name in lists),
     )
 
 
@@ -188,4 +263,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WO
     """Documents without any word inside a window of the benchmark, with all their columns."""
     hits = found(docs.select("doc_id", "text"), benchmark, size, anchors, None, rows)
     keyed = docs.select(F.struct(*docs.columns).alias("row"), "text", *(c.alias(k) for k, c in hashes().items()))
-    return matched(keyed, hits).filter("n_hit = 0").select("row.*")
+    return matched(keyed, hits, None).filter("n_hit = 0").select("row.*")

@@ -274,6 +274,51 @@ def test_near_matches_are_found_where_words_were_put_in(spark):
     assert [found[k]["near_items"] for k in range(4)] == [["5"], ["5"], [], []]
 
 
+def brute_near(text: str, item: str, slop: int = 5) -> bool:
+    """Whether 80 % of a window's words stand in the text with starts within slop of each other."""
+    t, w = text.split(), item.split()
+    size = min(10, len(w))
+    for k in range(len(w) - size + 1):
+        window, need = w[k : k + size], -(-size * 80 // 100)
+        met = [(p - j, j, p) for p, word in enumerate(t) for j, own in enumerate(window) if own == word]
+        for s in {m[0] for m in met}:
+            inside = [m for m in met if s <= m[0] <= s + slop]
+            n = sum(min(len({j for _, j, p in inside if t[p] == x}), len({p for _, j, p in inside if t[p] == x})) for x in {*window})
+            if n >= need:
+                return True
+    return False
+
+
+def test_near_matches_are_those_of_brute_force(spark):
+    """Replaced, dropped, added and moved words, also words that no document has, and repeated words."""
+    draw = random.Random(7)
+    vocabulary = [f"v{k}" for k in range(30)]
+    items = [" ".join(draw.choice(vocabulary) for _ in range(n)) for n in (1, 2, 4, 6, 9, 10, 12, 12, 15)]
+    items += [" ".join(["a", "b"] * 6), "x0 x1 x2 x3 x4 unseen x5 x6 x7 x8 x9 x10", "y0 none1 y1 y2 none2 y3 y4 y5 y6 y7", "z0 no1 z1 no2 z2 no3 z3 z4 z5 z6"]
+    texts = ["x0 x1 x2 x3 x4 other x5 x6 x7 x8 x9 x10", "q y0 y1 y2 y3 y4 y5 y6 y7 q", "z0 z1 z2 z3 z4 z5 z6", "a b a b", "b a " * 5, "x9 x2 x0 x7"]
+    for _ in range(400):
+        words = draw.choice(items[:-2]).split()
+        words = [x for x in words if not x.startswith("un")]
+        for _ in range(draw.randrange(6)):
+            at = draw.randrange(len(words) + 1)
+            how = draw.randrange(4)
+            if how == 0 or at >= len(words):
+                words.insert(at, draw.choice(vocabulary))
+            elif how == 1:
+                words[at] = draw.choice(vocabulary)
+            elif how == 2 and len(words) > 1:
+                del words[at]
+            else:
+                words.insert(draw.randrange(len(words)), words.pop(at))
+        texts.append(" ".join([draw.choice(vocabulary) for _ in range(draw.randrange(8))] + words))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {r.doc_id: set(r.near_items) for r in positional_index.contamination(frame, benchmark).collect()}
+    wanted = {k: {str(i) for i, item in enumerate(items) if brute_near(t, item)} for k, t in enumerate(texts)}
+    assert found == wanted
+    assert "10" in found[0] and "11" in found[1] and not found[2] & {"12"} and "9" not in found[3]
+
+
 @pytest.mark.parametrize("rows", [1, 500_000])
 def test_hits_do_not_depend_on_broadcasts(spark, docs, rows):
     found = positional_index.contamination(docs, table(spark, "benchmark"), rows=rows, slop=None)
