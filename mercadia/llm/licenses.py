@@ -16,6 +16,8 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -97,8 +99,10 @@ LICENCES = (
     Licence("All-Rights-Reserved", ("AllRights",)),
 )
 
-#: Every pattern needs one of these.
-KEY_WORDS = ("licen", "permission", "copyright", "redistribut", "software", "program", "warrant", "public domain", "rights reserved")
+#: Every pattern of SENTENCES needs one of these. None has white space or a mark in it, so that line breaks don't matter.
+KEY_WORDS = ("licen", "permission", "copyright", "redistribut", "software", "program", "warrant", "domain", "reserved", "commons", "cc", "endorse")
+#: Marks that normalised sentences lack.
+MARKS = "\"'`“”‘’*;:"
 #: A sentence ends at a mark that white space follows, or at an empty line.
 SENTENCE_END = r"(?<=[.;:!?])\s+|\s*\n\s*\n\s*"
 
@@ -109,7 +113,7 @@ def sentences_of(text: Column) -> Column:
     each = F.split(plain, SENTENCE_END)
 
     def normal(s: Column) -> Column:
-        s = F.regexp_replace(F.lower(s), "[\"'`“”‘’*;:]+", "")
+        s = F.regexp_replace(F.lower(s), f"[{MARKS}]+", "")
         return F.regexp_replace(F.btrim(F.regexp_replace(s, r"\s+", " ")), r"[ .!?,]+$", "")
 
     return F.filter(F.transform(each, normal), lambda s: s != "")
@@ -124,13 +128,16 @@ def identifier(sentence: Column, table: Sequence[Sentence]) -> Column:
 
 def licence_report(docs: DataFrame, sentences: Sequence[Sentence] = SENTENCES, licences: Sequence[Licence] = LICENCES) -> DataFrame:
     """Per document: doc_id, sentence identifiers in order, licences in order, and unmatched identifiers."""
-    mentions = F.lit(False)
-    for word in KEY_WORDS:
-        mentions = mentions | F.contains("small", F.lit(word))
     none = F.array().cast("array<string>")
-    rows = docs.select("doc_id", "text", F.lower("text").alias("small"))
-    rows = rows.select("doc_id", F.when(mentions, sentences_of(F.col("text"))).otherwise(none).alias("cut"))
-    speaking = F.filter("cut", lambda s: s.rlike("|".join(KEY_WORDS) + "|licen[sc]e|in no event|as is|governing"))
+    rows = docs.select("doc_id", "text", F.translate(F.lower("text"), MARKS, "").alias("small"))
+    # Other tables of sentences may need other words.
+    known = KEY_WORDS if tuple(sentences) == SENTENCES else ("",)
+
+    def speaks(text: Column) -> Column:
+        return reduce(or_, (F.contains(text, F.lit(word)) for word in known))
+
+    rows = rows.select("doc_id", F.when(speaks(F.col("small")), sentences_of(F.col("text"))).otherwise(none).alias("cut"))
+    speaking = F.filter("cut", speaks)
     rows = rows.select("doc_id", F.filter(F.transform(speaking, lambda s: identifier(s, sentences)), lambda i: i.isNotNull()).alias("sentence_ids"))
     # "<" and ">" close a licence's name, "," an identifier.
     read = F.concat(F.lit(","), F.array_join("sentence_ids", ",,"), F.lit(","))

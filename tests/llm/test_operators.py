@@ -244,6 +244,55 @@ AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
     assert found[4].unmatched == ["ApacheNotUse"]
 
 
+#: A text for each sentence.
+LICENCE_SENTENCES = {
+    "MitRef": "Released under the terms of the MIT license",
+    "MitTitle": "The MIT License (MIT)",
+    "MitGrant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+    "MitNotice": "The above copyright notice and this permission notice shall be included in all copies",
+    "AsIsMit": 'The software is provided "as is", without warranty of any kind',
+    "NoLiabilityMit": "In no event shall the authors or copyright holders be liable",
+    "ApacheRef2": "Licensed under the Apache License, Version 2.0",
+    "ApacheNotUse": "You may not use this file except in compliance with the License",
+    "ApacheCopy": "You may obtain a copy of the License at",
+    "ApacheAsIs": "Unless required by applicable law or agreed to in writing, software distributed under the License",
+    "ApacheLimits": "See the License for the specific language governing permissions",
+    "GplRef3Later": "Under the GNU General Public License version 3, or (at your option) any later version",
+    "GplRef3": "Under the GNU General Public License, version 3",
+    "GplRef2": "Under the GNU General Public License version 2",
+    "LgplRef": "Under the GNU Lesser General Public License",
+    "AgplRef": "Under the GNU Affero General Public License",
+    "GplNoWarranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+    "BsdRedistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted",
+    "BsdSource": "Redistributions of source code must retain the above copyright notice",
+    "BsdBinary": "Redistributions in binary form must reproduce the above copyright notice",
+    "BsdEndorse": "Neither the name of X may be used to endorse or promote products",
+    "BsdAsIs": 'This software is provided by the copyright holders and contributors "as is"',
+    "BsdNoLiability": "In no event shall the copyright owner or contributors be liable",
+    "CcByNcNd": "Released under CC BY-NC-ND",
+    "CcByNcSa": "Released under Creative Commons BY-NC-SA",
+    "CcByNc": "Released under *CC* BY-NC",
+    "CcBySa": "Released under CC BY-SA",
+    "CcBy": "Released under Creative Commons BY",
+    "MplRef2": "Subject to the terms of the Mozilla Public License, version 2",
+    "PublicDomain": "Placed into the public domain",
+    "AllRights": "All rights res'erved",
+}
+
+
+@pytest.mark.parametrize("wrap", [" ", "\n", "\n  # "])
+def test_each_sentence_is_named_alone_and_wrapped(spark, wrap):
+    frame = spark.createDataFrame([(k, v.replace(" ", wrap)) for k, v in LICENCE_SENTENCES.items()], "doc_id string, text string")
+    found = {r.doc_id: r.sentence_ids for r in licenses.licence_report(frame).collect()}
+    assert found == {k: [k] for k in LICENCE_SENTENCES}
+
+
+def test_other_sentence_tables_are_not_filtered_by_key_words(spark):
+    frame = spark.createDataFrame([(0, "Do as you like.")], "doc_id long, text string")
+    table_ = [licenses.Sentence("Wtf", "do as you like")]
+    assert licenses.licence_report(frame, table_, [licenses.Licence("WTF", ("Wtf",))]).first().licences == ["WTF"]
+
+
 # --- quality rules, contamination --------------------------------------------------------------
 
 
