@@ -47,12 +47,19 @@ SENTENCES = (
     Sentence("ApacheCopy", r"you may obtain a copy of the licen[sc]e at"),
     Sentence("ApacheAsIs", r"unless required by applicable law or agreed to in writing, software distributed under the licen[sc]e"),
     Sentence("ApacheLimits", r"see the licen[sc]e for the specific language governing permissions"),
-    Sentence("GplRef3Later", r"(.* )?(gnu )?general public licen[sc]e.* version 3,? or \(?at your option\)? any later version"),
-    Sentence("GplRef3", r"(.* )?gnu general public licen[sc]e,? (as published by the free software foundation, )?(either )?version 3"),
-    Sentence("GplRef2", r"(.* )?gnu general public licen[sc]e,? (as published by the free software foundation, )?(either )?version 2"),
+    Sentence("GplRef3Later", r"((.* )?(gnu|the|a|this|under|of) )?general public licen[sc]e.* version 3(\.0)?( of the licen[sc]e)?,? or (\(?at your option\)?,? )?(any )?later"),
+    Sentence("GplRef2Later", r"((.* )?(gnu|the|a|this|under|of) )?general public licen[sc]e.* version 2(\.0)?( of the licen[sc]e)?,? or (\(?at your option\)?,? )?(any )?later"),
+    Sentence("GplRef3", r"(.* )?gnu general public licen[sc]e,? (as published by the free software foundation,? )?(either )?version 3"),
+    Sentence("GplRef2", r"(.* )?gnu general public licen[sc]e,? (as published by the free software foundation,? )?(either )?version 2"),
+    # The notice of version 2 has a semicolon before the version.
+    Sentence("GplRefOpen", r"(.* )?gnu general public licen[sc]e,? as published by the free software foundation$"),
+    Sentence("Version3Later", r"(either )?version 3(\.0)?( of the licen[sc]e)?,? or (\(?at your option\)?,? )?(any )?later"),
+    Sentence("Version2Later", r"(either )?version 2(\.0)?( of the licen[sc]e)?,? or (\(?at your option\)?,? )?(any )?later"),
+    Sentence("Version3Only", r"version 3(\.0)?( of the licen[sc]e)?$"),
+    Sentence("Version2Only", r"version 2(\.0)?( of the licen[sc]e)?$"),
     Sentence("LgplRef", r"(.* )?gnu (lesser|library) general public licen[sc]e"),
     Sentence("AgplRef", r"(.* )?gnu affero general public licen[sc]e"),
-    Sentence("GplFreeSoftware", r"this program is free software you can redistribute it"),
+    Sentence("GplFreeSoftware", r"this program is free software( you can redistribute it|$)"),
     Sentence("GplNoWarranty", r"this program is distributed in the hope that it will be useful, but without any warranty"),
     Sentence("BsdRedistribution", r"redistribution and use in source and binary forms, with or without modification, are permitted"),
     Sentence("BsdSource", r"(1\.? )?redistributions of source code must retain the above copyright notice"),
@@ -65,7 +72,7 @@ SENTENCES = (
     Sentence("CcByNc", r"(.* )?(licensed|license|released) under (a |the )?(cc|creative commons) by[- ]nc"),
     Sentence("CcBySa", r"(.* )?(licensed|license|released) under (a |the )?(cc|creative commons) by[- ]sa"),
     Sentence("CcBy", r"(.* )?(licensed|license|released) under (a |the )?(cc|creative commons) by"),
-    Sentence("MplRef2", r"(.* )?subject to the terms of the mozilla public licen[sc]e,? v(ersion|\.)? ?2"),
+    Sentence("MplRef2", r"(.* )?(subject to the terms of the mozilla public licen[sc]e,? v(ersion|\.)? ?2|source code form is subject to the terms of the mozilla public licen[sc]e,? v$)"),
     Sentence("PublicDomain", r"(.* )?(released|dedicated|placed) (in)?to the public domain"),
     Sentence("AllRights", r"(.* )?all rights reserved"),
 )
@@ -81,11 +88,31 @@ LICENCES = (
     Licence("Apache-2.0", ("ApacheRef2", "ApacheNotUse", "ApacheCopy", "ApacheAsIs", "ApacheLimits")),
     Licence("Apache-2.0", ("ApacheRef2", "ApacheNotUse", "ApacheCopy")),
     Licence("Apache-2.0", ("ApacheRef2",)),
+    Licence("GPL-3.0-or-later", ("GplFreeSoftware", "GplRefOpen", "Version3Later", "GplNoWarranty")),
     Licence("GPL-3.0-or-later", ("GplFreeSoftware", "GplRef3Later", "GplNoWarranty")),
+    Licence("GPL-2.0-or-later", ("GplFreeSoftware", "GplRefOpen", "Version2Later", "GplNoWarranty")),
+    Licence("GPL-2.0-or-later", ("GplFreeSoftware", "GplRef2Later", "GplNoWarranty")),
+    Licence("GPL-3.0", ("GplFreeSoftware", "GplRefOpen", "Version3Only", "GplNoWarranty")),
+    Licence("GPL-3.0", ("GplFreeSoftware", "GplRef3", "GplNoWarranty")),
+    Licence("GPL-2.0", ("GplFreeSoftware", "GplRefOpen", "Version2Only", "GplNoWarranty")),
+    Licence("GPL-2.0", ("GplFreeSoftware", "GplRef2", "GplNoWarranty")),
+    Licence("LGPL", ("GplFreeSoftware", "LgplRef", "Version3Later", "GplNoWarranty")),
+    Licence("LGPL", ("GplFreeSoftware", "LgplRef", "Version2Later", "GplNoWarranty")),
+    Licence("LGPL", ("GplFreeSoftware", "LgplRef", "GplNoWarranty")),
+    Licence("AGPL", ("GplFreeSoftware", "AgplRef", "Version3Later", "GplNoWarranty")),
+    Licence("AGPL", ("GplFreeSoftware", "AgplRef", "GplNoWarranty")),
+    Licence("GPL-3.0-or-later", ("GplRefOpen", "Version3Later")),
     Licence("GPL-3.0-or-later", ("GplRef3Later",)),
+    Licence("GPL-2.0-or-later", ("GplRefOpen", "Version2Later")),
+    Licence("GPL-2.0-or-later", ("GplRef2Later",)),
+    Licence("GPL-3.0", ("GplRefOpen", "Version3Only")),
     Licence("GPL-3.0", ("GplRef3",)),
+    Licence("GPL-2.0", ("GplRefOpen", "Version2Only")),
     Licence("GPL-2.0", ("GplRef2",)),
+    Licence("LGPL", ("LgplRef", "Version3Later")),
+    Licence("LGPL", ("LgplRef", "Version2Later")),
     Licence("LGPL", ("LgplRef",)),
+    Licence("AGPL", ("AgplRef", "Version3Later")),
     Licence("AGPL", ("AgplRef",)),
     Licence("MIT", ("MitRef",)),
     Licence("MIT", ("MitTitle",)),

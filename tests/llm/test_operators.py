@@ -287,6 +287,44 @@ def test_each_sentence_is_named_alone_and_wrapped(spark, wrap):
     assert found == {k: [k] for k in LICENCE_SENTENCES}
 
 
+FREE = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU {}General Public License as published by
+the Free Software Foundation{}
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+LATER = " either version {} of the License, or\n(at your option) any later version."
+NOTICES = {
+    "GPL-3.0-or-later": [FREE.format(":", "", "," + LATER.format(3)), FREE.format(";", "", ";" + LATER.format(3)), "Under the GNU General Public License version 3 or later."],
+    "GPL-2.0-or-later": [FREE.format(";", "", ";" + LATER.format(2)), FREE.format(":", "", "," + LATER.format(2)), "Under the GNU General Public License, version 2 or any later version."],
+    "GPL-3.0": [FREE.format(":", "", ", version 3."), FREE.format(";", "", "; version 3 of the License.")],
+    "GPL-2.0": [FREE.format(":", "", ", version 2."), FREE.format(";", "", "; version 2 of the License.")],
+    "LGPL": [FREE.format(":", "Lesser ", "," + LATER.format(3)), FREE.format(";", "Library ", ";" + LATER.format(2)), FREE.format(";", "Lesser ", ";" + LATER.format("2.1"))],
+    "AGPL": [FREE.format(":", "Affero ", "," + LATER.format(3))],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one."],
+}
+
+
+def test_standard_notices(spark):
+    rows = [(f"{name} {k}", text) for name, texts in NOTICES.items() for k, text in enumerate(texts)]
+    rows += [(f"{i} #", "\n".join(f" * {line}" for line in text.split("\n"))) for i, text in rows]
+    found = licenses.licence_report(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r.doc_id: (r.licences, r.unmatched) for r in found} == {i: ([i.split()[0]], []) for i, _ in rows}
+
+
+def test_every_rule_reads_its_own_sentences(spark):
+    """Each sequence of the table is reached by sentences that have its identifiers."""
+    more = {"GplFreeSoftware": "This program is free software", "GplRef2Later": "GNU General Public License version 2 or later"}
+    more |= {"GplRefOpen": "GNU General Public License as published by the Free Software Foundation"}
+    more |= {f"Version{n}Later": f"Either version {n} of the License, or any later version" for n in (2, 3)} | {f"Version{n}Only": f"Version {n} of the License" for n in (2, 3)}
+    texts = LICENCE_SENTENCES | more
+    assert {*texts} == {s.name for s in licenses.SENTENCES}
+    rows = [(k, ".\n\n".join(texts[i] for i in rule.sentences)) for k, rule in enumerate(licenses.LICENCES)]
+    found = licenses.licence_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.licences, r.unmatched) for r in found} == {k: ([rule.name], []) for k, rule in enumerate(licenses.LICENCES)}
+
+
 def test_other_sentence_tables_are_not_filtered_by_key_words(spark):
     frame = spark.createDataFrame([(0, "Do as you like.")], "doc_id long, text string")
     table_ = [licenses.Sentence("Wtf", "do as you like")]
