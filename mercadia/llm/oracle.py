@@ -136,10 +136,42 @@ def licence_report() -> str:
       array_to_string(unmatched, ',') AS unmatched FROM found"""
 
 
+def trie() -> str:
+    """Nodes as lists of turns; crc32 by its definition, bit by bit over the bytes of the decimal number."""
+    bits = "list_reduce([xor(a, b)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))"
+    crc = f"xor(list_reduce([4294967295] || list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT), lambda a, b: {bits}), 4294967295)"
+    return rf"""
+    WITH RECURSIVE turns AS (
+      SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS said,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS place
+      FROM conversations WHERE conv_id IS NOT NULL),
+    lists AS (SELECT conv_id, list(said ORDER BY place) AS own FROM turns GROUP BY conv_id),
+    crcs AS (SELECT conv_id, own, conv_id - conv_id % 100 AS base, ({crc}) % 6 AS h FROM lists),
+    rebuilt AS (
+      SELECT c.conv_id, coalesce(b.own, [])[1 : c.h] || c.own[c.h + 1 :] AS said FROM crcs c LEFT JOIN lists b ON c.base = b.conv_id),
+    members AS (
+      SELECT conv_id, d AS depth, said[1 : d] AS node, said[1 : d - 1] AS parent, d = len(said) AS ends, coalesce(length(said[d].text), 0) AS chars
+      FROM rebuilt, LATERAL (SELECT unnest(range(0, len(said) + 1)) AS d) t),
+    named AS (
+      SELECT depth, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved,
+        bool_and(ends) AS leaf, sha256(coalesce(string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+      FROM members GROUP BY depth, node),
+    below AS (
+      SELECT m.depth, m.node, sum(n.leaf::BIGINT) AS n_leaves, sum(n.saved) AS saved_tokens
+      FROM named n JOIN members m ON m.conv_id = n.conv_id AND m.depth <= n.depth GROUP BY m.depth, m.node),
+    children AS (SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children FROM named WHERE depth > 0 GROUP BY depth, parent)
+    SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children,
+      b.n_leaves::BIGINT AS n_leaves, b.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+    FROM named n JOIN below b ON n.depth = b.depth AND n.node = b.node
+      LEFT JOIN children c ON n.depth = c.depth AND n.node = c.node
+      LEFT JOIN named p ON n.depth - 1 = p.depth AND n.parent = p.node"""
+
+
 def llm_oracle() -> dict[str, str]:
     return {
         "op4_redirect_equivalence": url_verdicts(),
         "op6_quality_rules": quality(),
         "op7_licence_sentences": licence_report(),
         "op9_positional_index_decontamination": contamination(),
+        "op12_conversation_prefix_trie": trie(),
     }

@@ -15,6 +15,7 @@ from mercadia.llm import (
     near_duplicates,
     packing,
     positional_index,
+    prefix_trie,
     quality_rules,
     sharding,
     shared,
@@ -22,10 +23,26 @@ from mercadia.llm import (
     tokens,
     toxicity,
     url_rules,
+    vector_packing,
+    whitening,
+    word_tokens,
 )
 
 # Python workers need no copy of the package.
-for module in (binary_records, components, near_duplicates, packing, shared, site_quality, tokens, toxicity):
+for module in (
+    binary_records,
+    components,
+    near_duplicates,
+    packing,
+    prefix_trie,
+    shared,
+    site_quality,
+    tokens,
+    toxicity,
+    vector_packing,
+    whitening,
+    word_tokens,
+):
     cloudpickle.register_pickle_by_value(module)
 
 
@@ -105,6 +122,18 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(*whitening.whitened(table(spark, sf_dir, "embeddings")))
+
+
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("key")
+
+
+def op13_vector_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.best_fit_packed(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=1, with_ids=False)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -125,6 +154,9 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_exact_and_proximity_matches,
         near_benchmark_passages,
         op10_site_quality,
+        op11_embedding_whitening,
+        op12_conversation_prefix_trie,
+        op13_vector_best_fit_packing,
         pipeline,
     )
     return {query.__name__: query for query in found}
