@@ -98,6 +98,9 @@ PRIMARY_KEYS = {
     "geolocation": "geolocation_zip_code_prefix",
 }
 
+# What identifies a row. A line number alone repeats.
+ROW_KEYS = {name: (key,) for name, key in PRIMARY_KEYS.items()} | {"order_items": ("order_id", "order_item_id")}
+
 # (child table, child column, parent table, parent column)
 FOREIGN_KEYS = (
     ("orders", "customer_id", "customers", "customer_id"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,9 @@ from mercadia.plans.facts import build_order_fact, build_sales_fact
 from mercadia.sources.schemas import LOAD_ORDER, TABLES
 from mercadia.sources.shop import Shop
 
+# Column that names the load of a row, and the table of loads that ended.
+LOAD, LOADS = "load_id", "loads"
+
 # Join key by which a table can be bucketed.
 BUCKET_KEYS = {
     "orders": "order_id",
@@ -54,42 +60,83 @@ def typed(df: DataFrame, table: str) -> DataFrame:
 
 
 def create_tables(spark: SparkSession, database: str, buckets: int | None = None) -> None:
-    """Declare the eight empty tables in the session catalog.
+    """Declare the eight empty tables in the session catalog, and the list of loads.
 
-    With ``buckets`` the order tables are bucketed by order and the customers by id, so
-    adding items up per order and joining them needs no shuffle. AQE cannot split a
-    bucket: leave them out where one order may hold a large share of the items.
+    Every table is partitioned by the load that brought a row. With ``buckets`` the order tables
+    are bucketed by order and the customers by id, so adding items up per order and joining them
+    needs no shuffle. AQE cannot split a bucket: leave them out where one order may hold a large
+    share of the items.
     """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     for name, schema in TABLES.items():
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
         bucketing = f"CLUSTERED BY ({BUCKET_KEYS[name]}) INTO {buckets} BUCKETS" if _bucketed(name, buckets) else ""
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet {bucketing}")
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}, {LOAD} string) USING parquet "
+            f"PARTITIONED BY ({LOAD}) {bucketing}"
+        )
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{LOADS} ({LOAD} string, loaded_at timestamp_ntz) USING parquet")
 
 
 def _bucketed(table: str, buckets: int | None) -> bool:
     return buckets is not None and table in BUCKET_KEYS
 
 
-def load_tables(shop: Shop, database: str, check: bool = True, buckets: int | None = None) -> None:
-    """Append the tables in an order in which every parent comes before its children.
+def loads(spark: SparkSession, database: str) -> set[str]:
+    """Names of the loads that ended; one for each batch ever loaded."""
+    return {row[LOAD] for row in spark.table(f"{database}.{LOADS}").select(LOAD).collect()}
+
+
+def load_tables(
+    shop: Shop, database: str, check: bool = True, buckets: int | None = None, load_id: str | None = None
+) -> str:
+    """Append a batch of tables, parents before children; returns the name of the load.
 
-    ``check`` refuses tables that break a key, reference, range or width rule. ``buckets``
-    is the number the tables were created with; each bucket is then written by one task.
+    ``check`` refuses a batch that breaks a key, reference, range or width rule, alone or together
+    with what is stored: keys must be new, parents may be stored already, and a batch may have any of
+    the tables. ``buckets`` is the number the tables were created with; each bucket is then
+    written by one task.
+
+    Rows go to partitions of their own and count from the moment the load is put on the list of
+    loads, which comes last. A load that failed half-way is invisible; run again under its
+    ``load_id`` it replaces what it had written, and once it has ended a further run does nothing.
+    Batches are loaded one at a time.
     """
-    if check:
-        require_sound(shop)
     frames = shop.tables()
+    spark = next(iter(frames.values())).sparkSession
+    load_id = load_id or uuid.uuid4().hex
+    if not re.fullmatch(r"[\w-]+", load_id):
+        raise ValueError(f"a load's name is made of letters, digits, - and _, not {load_id!r}")
+    if load_id in loads(spark, database):
+        return load_id
+    if check:
+        require_sound(shop, read_database(spark, database))
     for name in LOAD_ORDER:
         if name in frames:
             rows = typed(frames[name], name)
             if _bucketed(name, buckets):
                 rows = rows.repartition(buckets, BUCKET_KEYS[name])
-            rows.write.mode("append").insertInto(f"{database}.{name}")
+            into = f"INSERT OVERWRITE {database}.{name} PARTITION ({LOAD} = '{load_id}')"
+            spark.sql(f"{into} SELECT * FROM {{rows}}", rows=rows)
+    ended = spark.range(1, numPartitions=1).select(F.lit(load_id), F.localtimestamp())
+    ended.write.mode("append").insertInto(f"{database}.{LOADS}")
+    return load_id
+
+
+def drop_failed_loads(spark: SparkSession, database: str) -> None:
+    """Delete the rows of loads that did not end."""
+    ended = loads(spark, database)
+    for name in TABLES:
+        for row in spark.sql(f"SHOW PARTITIONS {database}.{name}").collect():
+            load_id = row["partition"].partition("=")[2]
+            if load_id not in ended:
+                spark.sql(f"ALTER TABLE {database}.{name} DROP PARTITION ({LOAD} = '{load_id}')")
 
 
 def read_database(spark: SparkSession, database: str) -> Shop:
-    return Shop(**{name: spark.table(f"{database}.{name}") for name in TABLES})
+    """The rows of all loads that ended."""
+    ended = F.col(LOAD).isin(*loads(spark, database))
+    return Shop(**{name: spark.table(f"{database}.{name}").filter(ended).drop(LOAD) for name in TABLES})
 
 
 def save_facts(shop: Shop, path: str) -> None:
