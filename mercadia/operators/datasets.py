@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercadia.functions.columns import amount, nan_to_null, period_start
+from mercadia.functions.columns import amount, cents, nan_to_null, period_start
 from mercadia.functions.params import PURCHASE
 from mercadia.operators.features import person_product_counts, update_customers
-from mercadia.plans.facts import PERSON, delivered, roll_up
+from mercadia.plans.facts import CATEGORY_EN, PERSON, STATE, delivered, roll_up, sales_of
 from mercadia.plans.facts import order_totals as totals_of
+from mercadia.plans.quantiles import exact_quantiles
 from mercadia.sources.shop import Shop
 
 # Series name → granularity of its steps.
@@ -32,19 +33,88 @@ def sales_series(shop: Shop, frequency: str, by: str | None = None) -> DataFrame
     return series.select(F.col(by).alias("series_id"), "ds", amount("weighted_cents").alias("y"))
 
 
+def sales_series_levels(shop: Shop, frequencies: Sequence[str] = tuple(SERIES)) -> DataFrame:
+    """Delivered order value per step of the shop, each state, each category, and each pair of them.
+
+    Rows (frequency, level, state, category, series_id, ds, y). One pass over the items: they are
+    added up per customer id, product and day, then per state and product, then per state and
+    category, so every join meets folded rows; grouping sets over the calendar make the levels.
+    Items of unknown customers or products count in the state or category NULL, so each level
+    has the same sum.
+    """
+    day = F.col(PURCHASE).cast("date").alias("day")
+    line = F.col("order_item_id")
+    value = (cents(F.col("price")) * line, cents(F.col("freight_value")) * line)
+
+    def added(df: DataFrame, *keys: Column | str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.sum("price_cents").alias("price_cents"), F.sum("freight_cents").alias("freight_cents"))
+
+    items = delivered(sales_of(shop)).withColumns(dict(zip(("price_cents", "freight_cents"), value)))
+    if STATE in items.columns:
+        daily = added(items, STATE, CATEGORY_EN, day)
+    else:
+        per_id = added(items, "customer_id", "product_id", day)
+        known = per_id.join(shop.customers.select("customer_id", STATE), "customer_id", "left")
+        per_product = added(known, STATE, "product_id", "day")
+        named = per_product.join(shop.products.select("product_id", CATEGORY_EN), "product_id", "left")
+        daily = added(named, STATE, CATEGORY_EN, "day")
+    starts = [
+        F.struct(F.lit(name).alias("frequency"), period_start(SERIES[name], "day").cast("date").alias("ds"))
+        for name in frequencies
+    ]
+    steps = daily.withColumn("step", F.explode(F.array(*starts))).select("step.*", STATE, CATEGORY_EN, "price_cents", "freight_cents")
+    time = [F.col("frequency"), F.col("ds")]
+    sets = [[*time, *(F.col(c) for c in level)] for level in ((), (STATE,), (CATEGORY_EN,), (STATE, CATEGORY_EN))]
+    summed = steps.groupingSets(sets, *time, STATE, CATEGORY_EN).agg(
+        F.sum("price_cents").alias("price_cents"),
+        F.sum("freight_cents").alias("freight_cents"),
+        F.grouping(STATE).alias("_all_states"),
+        F.grouping(CATEGORY_EN).alias("_all_categories"),
+    )
+    by_state, by_category = F.col("_all_states") == 0, F.col("_all_categories") == 0
+    level = (
+        F.when(by_state & by_category, "state_category").when(by_state, "state").when(by_category, "category").otherwise("shop")
+    )
+
+    def part(name: str, column: str, shown: Column) -> Column:
+        return F.when(shown, F.concat(F.lit(f"/{name}="), F.coalesce(F.col(column), F.lit("?")))).otherwise("")
+
+    series_id = F.concat("frequency", part("state", STATE, by_state), part("category", CATEGORY_EN, by_category))
+    return summed.select(
+        "frequency",
+        level.alias("level"),
+        F.col(STATE).alias("state"),
+        F.col(CATEGORY_EN).alias("category"),
+        series_id.alias("series_id"),
+        "ds",
+        amount(F.col("price_cents") + F.col("freight_cents")).alias("y"),
+    )
+
+
+def level_totals(series: DataFrame) -> DataFrame:
+    """Sum of each level's series, to the cent; equal for all levels of a frequency."""
+    return series.groupBy("frequency", "level").agg(
+        F.round(F.sum("y"), 2).alias("total"), F.count_distinct("series_id").alias("series")
+    )
+
+
 def remove_outliers_log(
-    df: DataFrame, column: str, factor: float = 1.5, by: Sequence[str] = ()
+    df: DataFrame, column: str, factor: float = 1.5, by: Sequence[str] = (), unbounded: bool = False
 ) -> DataFrame:
     """Keep rows whose logarithm is within ``factor`` interquartile ranges of the quartiles.
 
-    Values of 0 or below are an error; NaN and NULL rows drop out. Meant for aggregated
-    series, whose length the calendar bounds, since the quartiles are exact.
+    Values of 0 or below are an error; NaN and NULL rows drop out. The quartiles are exact. Those
+    of an aggregated series, whose length the calendar bounds, are taken in one task per series;
+    for raw rows set ``unbounded``, and no task gathers the values of a group.
     """
     value = nan_to_null(F.col(column))
     problem = F.raise_error(F.lit("the logarithm needs values above 0"))
     log_value = F.when(value <= 0, problem.cast("double")).otherwise(F.ln(value))
     logged = df.withColumn("_log", log_value)
-    quartiles = logged.groupBy(*by).agg(F.percentile("_log", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    if unbounded:
+        quartiles = exact_quantiles(logged, "_log", (0.25, 0.75), by).withColumnRenamed("quantiles", "_q")
+    else:
+        quartiles = logged.groupBy(*by).agg(F.percentile("_log", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
     if by:
         logged = logged.join(quartiles, list(by))
     else:

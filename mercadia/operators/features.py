@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from mercadia.functions.columns import amount, as_double, percent, ratio, whole_days
 from mercadia.functions.params import PURCHASE, ntz
+from mercadia.functions.ranks import numbered, ranged
 from mercadia.operators.customers import reference_time
+from mercadia.plans.checkpoints import cut_lineage
 from mercadia.plans.facts import (
     CATEGORY,
     PERSON,
@@ -143,21 +145,43 @@ def order_values(shop: Shop) -> DataFrame:
 # --- purchase counts ------------------------------------------------------------------
 
 
-def person_product_counts(shop: Shop) -> DataFrame:
+def customer_product_counts(shop: Shop) -> DataFrame:
+    """Delivered items per customer id and product: the one aggregate that all purchase counts follow from."""
+    sold = delivered(sales_of(shop))
+    return sold.groupBy("customer_id", "product_id").agg(F.count(F.lit(1)).alias("total_purchases"))
+
+
+def person_product_counts(shop: Shop, counts: DataFrame | None = None) -> DataFrame:
     """Delivered items per person and product."""
-    sold = delivered(sales_of(shop)).withColumn("total_purchases", F.lit(1))
+    if counts is None and shop.sales_fact is not None:
+        sold = delivered(sales_of(shop)).withColumn("total_purchases", F.lit(1))
+    else:
+        sold = customer_product_counts(shop) if counts is None else counts
     return roll_up(shop, sold, PERSON, keys=("product_id",), sums=("total_purchases",))
 
 
-def product_popularity(shop: Shop) -> DataFrame:
+def product_popularity(shop: Shop, counts: DataFrame | None = None) -> DataFrame:
     """Delivered items per product."""
-    return delivered(sales_of(shop)).groupBy("product_id").agg(F.count(F.lit(1)).alias("total_sales"))
+    if counts is None:
+        return delivered(sales_of(shop)).groupBy("product_id").agg(F.count(F.lit(1)).alias("total_sales"))
+    return counts.groupBy("product_id").agg(F.sum("total_purchases").alias("total_sales"))
 
 
-def person_category_counts(shop: Shop) -> DataFrame:
+def ranked_product_popularity(shop: Shop, counts: DataFrame | None = None) -> DataFrame:
+    """Product popularity with its rank from 1, most sold first; ties by product.
+
+    The products are dealt to tasks by ranges of the ranking, numbered there, and the counts of the
+    ranges before are added, so no task sees all products.
+    """
+    order = [F.desc("total_sales"), F.col("product_id")]
+    dealt = cut_lineage(ranged(product_popularity(shop, counts), [], order))
+    return numbered(dealt, [], order, "popularity_rank")
+
+
+def person_category_counts(shop: Shop, counts: DataFrame | None = None) -> DataFrame:
     """Delivered items per person and category."""
     return (
-        with_category(shop, person_product_counts(shop))
+        with_category(shop, person_product_counts(shop, counts))
         .groupBy(PERSON, F.col(CATEGORY).alias("category"))
         .agg(F.sum("total_purchases").alias("total_purchases"))
     )
@@ -294,7 +318,10 @@ def update_orders(shop: Shop) -> DataFrame:
 
 
 def precomputed_features(shop: Shop, computed_at: datetime) -> DataFrame:
-    """The three purchase rollups as rows of one feature table, a JSON object per entry."""
+    """The three purchase rollups as rows of one feature table, a JSON object per entry.
+
+    All three follow from one aggregate of the items, which is stored once.
+    """
 
     def entries(name: str, df: DataFrame) -> DataFrame:
         return df.select(
@@ -303,8 +330,10 @@ def precomputed_features(shop: Shop, computed_at: datetime) -> DataFrame:
             ntz(computed_at).alias("computed_at"),
         )
 
+    counts = cut_lineage(customer_product_counts(shop))
+    # The names of the three features.
     return (
-        entries("customer_product_purchases", person_product_counts(shop))
-        .unionByName(entries("top_product_popularity", product_popularity(shop)))
-        .unionByName(entries("customer_top_categories", person_category_counts(shop)))
+        entries("customer_product_purchases", person_product_counts(shop, counts))
+        .unionByName(entries("top_product_popularity", ranked_product_popularity(shop, counts)))
+        .unionByName(entries("customer_top_categories", person_category_counts(shop, counts)))
     )

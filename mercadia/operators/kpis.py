@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercadia.functions.columns import amount, cents, period_start, ratio
-from mercadia.functions.params import PURCHASE, Period, granularity_of
+from mercadia.functions.params import PURCHASE, Period, granularity_of, ntz
 from mercadia.plans.facts import PERSON, delivered, of_known_customers, orders_of, roll_up
 from mercadia.sources.shop import Shop
 
@@ -20,15 +20,10 @@ def _delivered_totals(shop: Shop, period: Period) -> DataFrame:
     return period.keep(delivered(orders_of(shop, totals=True)))
 
 
-def main_kpis(shop: Shop, period: Period) -> DataFrame:
-    """Headline figures of a period, one row; an empty period gives 0 and NULL.
-
-    A customer counts as new when first seen inside the period, so every active
-    customer is new. That is the defined meaning of the figure.
-    """
-    orders = _delivered_totals(shop, period).withColumn("orders", F.lit(1))
-    people = roll_up(shop, orders, PERSON, sums=("revenue_cents", "orders"))
-    return people.agg(
+def _figures(shop: Shop, orders: DataFrame, *keys: str) -> DataFrame:
+    """Headline figures of delivered orders, one row or one per value of the keys."""
+    people = roll_up(shop, orders.withColumn("orders", F.lit(1)), PERSON, keys=keys, sums=("revenue_cents", "orders"))
+    return people.groupBy(*keys).agg(
         F.coalesce(F.sum("orders"), F.lit(0)).alias("total_orders"),
         amount(F.sum("revenue_cents")).alias("total_revenue"),
         ratio(amount(F.sum("revenue_cents")), F.sum("orders")).alias("avg_order_value"),
@@ -37,18 +32,32 @@ def main_kpis(shop: Shop, period: Period) -> DataFrame:
     )
 
 
-def kpis_against_previous(shop: Shop, period: Period) -> DataFrame:
-    """Headline figures of the period, of the one before, and their difference."""
-    both = (
-        main_kpis(shop, period)
-        .withColumn("current", F.lit(True))
-        .unionByName(main_kpis(shop, period.previous()).withColumn("current", F.lit(False)))
-    )
+def main_kpis(shop: Shop, period: Period) -> DataFrame:
+    """Headline figures of a period, one row; an empty period gives 0 and NULL.
 
-    def pick(name: str, current: bool) -> F.Column:
-        return F.max(F.when(F.col("current") == current, F.col(name)))
+    A customer counts as new when first seen inside the period, so every active
+    customer is new. That is the defined meaning of the figure.
+    """
+    return _figures(shop, _delivered_totals(shop, period))
 
-    return both.agg(
+
+def kpis_against_previous(shop: Shop, period: Period) -> DataFrame:
+    """Headline figures of the period, of the one before, and their difference.
+
+    Both periods are read in one pass; every order carries the period that it falls in.
+    """
+    earlier = period.previous()
+    when = F.col(PURCHASE)
+    current = F.when(when >= ntz(period.start), True).when(when <= ntz(earlier.end), False)
+    orders = _delivered_totals(shop, Period(earlier.start, period.end)).withColumn("current", current)
+    figures = _figures(shop, orders.filter(F.col("current").isNotNull()), "current")
+    counts = ("total_orders", "active_customers", "new_customers")
+
+    def pick(name: str, current: bool) -> Column:
+        value = F.max(F.when(F.col("current") == current, F.col(name)))
+        return F.coalesce(value, F.lit(0)) if name in counts else value
+
+    return figures.agg(
         *(pick(k, True).alias(k) for k in KPIS),
         *(pick(k, False).alias(f"previous_{k}") for k in KPIS),
         *((pick(k, True) - pick(k, False)).alias(f"delta_{k}") for k in KPIS),

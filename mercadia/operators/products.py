@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercadia.functions.columns import amount, as_double, cents, percent, ratio
@@ -20,44 +20,67 @@ from mercadia.sources.shop import Shop
 MEASURES = ("total_revenue", "total_units_sold", "return_rate_percentage")
 
 
-def category_performance(shop: Shop, period: Period) -> DataFrame:
-    """Revenue, units and mean score per category of delivered items.
-
-    An item counts once per review of its order, as a plain left join would have it.
-    The reviews are counted per order and multiplied in, so nothing fans out.
-    """
-    reviews = shop.reviews.groupBy("order_id").agg(
+def _reviews_per_order(shop: Shop) -> DataFrame:
+    return shop.reviews.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("n_reviews"),
         F.count("review_score").alias("n_scores"),
         F.sum("review_score").alias("score_sum"),
     )
-    items = (
-        period.keep(delivered(sales_of(shop)))
-        .select("order_id", "product_id", "order_item_id", revenue_cents().alias("revenue_cents"))
-        .join(reviews, "order_id", "left")
-    )
+
+
+def _reviewed_sales(shop: Shop, period: Period) -> DataFrame:
+    """Items of the period with the folded reviews of their order.
+
+    The reviews go to the order side, so items meet orders in one join, whose hot orders Spark
+    splits; only sums per product and line are shuffled after it.
+    """
+    if shop.sales_fact is not None:
+        return period.keep(shop.sales_fact).join(_reviews_per_order(shop), "order_id", "left")
+    orders = period.keep(shop.orders).select("order_id", "customer_id", "order_status")
+    return shop.order_items.join(orders.join(_reviews_per_order(shop), "order_id", "left"), "order_id")
+
+
+def _category_lines(shop: Shop, items: DataFrame) -> DataFrame:
+    """Sums per category and line number; an item counts once per review of its order."""
+    is_delivered, is_canceled = F.col("order_status") == "delivered", F.col("order_status") == "canceled"
     copies = F.coalesce(F.col("n_reviews"), F.lit(1))
-    per_product = items.groupBy("product_id", "order_item_id").agg(
-        F.sum(F.col("revenue_cents") * copies).alias("revenue_cents"),
-        F.sum("n_scores").alias("n_scores"),
-        F.sum("score_sum").alias("score_sum"),
-    )
-    sums = [F.sum(c).alias(c) for c in ("revenue_cents", "n_scores", "score_sum")]
+    measures = {
+        "revenue_cents": F.when(is_delivered, revenue_cents() * copies),
+        "n_scores": F.when(is_delivered, F.col("n_scores")),
+        "score_sum": F.when(is_delivered, F.col("score_sum")),
+        "delivered": F.when(is_delivered, 1).otherwise(0),
+        "canceled": F.when(is_canceled, 1).otherwise(0),
+        "all": F.lit(1),
+    }
+    per_product = items.groupBy("product_id", "order_item_id").agg(*(F.sum(m).alias(n) for n, m in measures.items()))
     return (
         with_category(shop, per_product)
         .filter(F.col(CATEGORY_EN).isNotNull())
         .groupBy(CATEGORY_EN, "order_item_id")
-        .agg(*sums)
-        .groupBy(CATEGORY_EN)
-        .agg(
-            amount(F.sum("revenue_cents")).alias("total_revenue"),
-            F.count("order_item_id").alias("total_units_sold"),
-            F.coalesce(ratio(F.sum("score_sum"), F.sum("n_scores")), F.lit(0.0)).alias("avg_review_score"),
-        )
-        .filter(F.col("total_units_sold") > 0)
+        .agg(*(F.sum(n).alias(n) for n in measures))
     )
 
 
+def _performance() -> list[Column]:
+    """Revenue, units and mean score of a category, out of its lines."""
+    units = F.count(F.when(F.col("delivered") > 0, F.col("order_item_id")))
+    return [
+        amount(F.sum("revenue_cents")).alias("total_revenue"),
+        units.alias("total_units_sold"),
+        F.coalesce(ratio(F.sum("score_sum"), F.sum("n_scores")), F.lit(0.0)).alias("avg_review_score"),
+    ]
+
+
+def category_performance(shop: Shop, period: Period) -> DataFrame:
+    """Revenue, units and mean score per category of delivered items.
+
+    An item counts once per review of its order, as a plain left join would have it.
+    The reviews are counted per order and multiplied in, so nothing fans out.
+    """
+    lines = _category_lines(shop, delivered(_reviewed_sales(shop, period)))
+    return lines.groupBy(CATEGORY_EN).agg(*_performance()).filter(F.col("total_units_sold") > 0)
+
+
 def category_return_rates(shop: Shop, period: Period) -> DataFrame:
     """Items of canceled orders in percent of all items, per category."""
     canceled = F.col("order_status") == "canceled"
@@ -75,24 +98,26 @@ def category_return_rates(shop: Shop, period: Period) -> DataFrame:
 
 
 def category_matrix(shop: Shop, period: Period) -> DataFrame:
-    """Category performance with return rates; gaps become 0."""
+    """Category performance with return rates, in one pass over the items; gaps become 0."""
+    rate = percent(F.sum("canceled"), F.sum("all"))
     return (
-        category_performance(shop, period)
-        .join(category_return_rates(shop, period), CATEGORY_EN, "left")
+        _category_lines(shop, _reviewed_sales(shop, period))
+        .groupBy(CATEGORY_EN)
+        .agg(*_performance(), rate.alias("return_rate_percentage"))
+        .filter(F.col("total_units_sold") > 0)
         .na.fill(0.0, ["total_revenue", "avg_review_score", "return_rate_percentage"])
-        .na.fill(0, ["total_units_sold"])
     )
 
 
 def top_categories(shop: Shop, period: Period) -> DataFrame:
-    """The leading category by revenue, by units and by return rate."""
+    """The leading category by revenue, by units and by return rate; ties go to the first by name."""
     long = (
         category_matrix(shop, period)
         .withColumn("total_units_sold", as_double("total_units_sold"))
         .unpivot(CATEGORY_EN, list(MEASURES), "measure", "value")
     )
-    best_first = Window.partitionBy("measure").orderBy(F.desc("value"), CATEGORY_EN)
-    return long.withColumn("rank", F.row_number().over(best_first)).filter("rank = 1").drop("rank")
+    best = F.min(F.struct((-F.col("value")).alias("rank"), CATEGORY_EN, "value"))
+    return long.groupBy("measure").agg(best.alias("best")).select(f"best.{CATEGORY_EN}", "measure", "best.value")
 
 
 def category_ranking(shop: Shop, period: Period, measure: str = "total_revenue", n: int = 10) -> DataFrame:

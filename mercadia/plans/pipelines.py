@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mercadia.operators import cleaning, datasets, features, forecast, segments
 from mercadia.plans.checkpoints import cut_lineage
-from mercadia.sources import raw_csv, warehouse
+from mercadia.sources import raw_csv, versions, warehouse
 from mercadia.sources.shop import Shop
 
 
@@ -49,15 +49,25 @@ def run_cleaning(spark: SparkSession, raw_path: str, cleaned_path: str) -> Shop:
     return Shop.from_parquet(spark, cleaned_path)
 
 
-def run_features(shop: Shop, path: str, computed_at: datetime) -> None:
-    """Write the updated tables and the feature store as a new version under ``path``."""
-    warehouse.save(features.update_customers(shop), f"{path}/customers")
-    warehouse.save(features.purchase_documents(shop), f"{path}/purchase_documents")
-    warehouse.save(features.update_products(shop), f"{path}/products")
-    warehouse.save(features.update_orders(shop), f"{path}/orders")
-    warehouse.save_features(
-        features.precomputed_features(shop, computed_at), f"{path}/precomputed_features"
-    )
+def run_features(shop: Shop, path: str, computed_at: datetime, version: str | None = None) -> str:
+    """Write the updated tables as a new version under ``path``, and the day's feature store.
+
+    The version is named after the time of computation unless a name is given. Its four tables
+    become current together, when all are written; ``versions.read_current`` reads them.
+    Returns the version's folder.
+    """
+
+    def write(folder: str) -> None:
+        warehouse.save(features.update_customers(shop), f"{folder}/customers")
+        warehouse.save(features.purchase_documents(shop), f"{folder}/purchase_documents")
+        warehouse.save(features.update_products(shop), f"{folder}/products")
+        warehouse.save(features.update_orders(shop), f"{folder}/orders")
+        warehouse.save_features(
+            features.precomputed_features(shop, computed_at), f"{path}/precomputed_features"
+        )
+
+    spark = next(iter(shop.tables().values())).sparkSession
+    return versions.publish(spark, path, version or computed_at.strftime("%Y%m%dT%H%M%S"), write)
 
 
 def run_datasets(shop: Shop, path: str) -> None:
@@ -98,3 +108,12 @@ def run_forecasts(series: dict[str, DataFrame], path: str) -> None:
     warehouse.save(forecasts, f"{path}/forecasts")
     metrics = forecast.forecast_metrics(forecasts, ("frequency", "series_id"))
     warehouse.save_csv(metrics, f"{path}/combined_forecast_metrics")
+
+
+def run_level_forecasts(shop: Shop, path: str, frequencies: tuple[str, ...] = ("weekly", "daily")) -> None:
+    """Forecast the shop, each state, each category and each pair of them, all in one grouped job."""
+    series = cut_lineage(datasets.sales_series_levels(shop, frequencies))
+    trimmed = datasets.remove_outliers_log(series, "y", by=["series_id"])
+    forecasts = cut_lineage(forecast.forecast(trimmed))
+    warehouse.save(forecasts, f"{path}/forecasts")
+    warehouse.save_csv(forecast.forecast_metrics(forecasts), f"{path}/forecast_metrics")

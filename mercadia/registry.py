@@ -26,6 +26,7 @@ from mercadia.operators import (
 )
 from mercadia.plans import facts
 from mercadia.plans.checkpoints import cut_lineage
+from mercadia.plans.quantiles import exact_quantiles
 from mercadia.sources import sample_tables as sample
 from mercadia.sources.sample_tables import SampleTables, event_shop, faulty_shop, sample_shop
 from mercadia.sources.shop import Shop
@@ -150,6 +151,19 @@ def _features() -> dict[str, Query]:
     def trimmed(shop: Shop, frequency: str) -> DataFrame:
         return datasets.remove_outliers_log(datasets.sales_series(shop, frequency), "y")
 
+    def priced(shop: Shop) -> DataFrame:
+        return facts.with_category(shop, _plain(shop.order_items.select("order_id", "order_item_id", "product_id", "price")))
+
+    def price_quartiles(shop: Shop, by_category: bool = False) -> DataFrame:
+        by = [facts.CATEGORY] if by_category else []
+        found = exact_quantiles(priced(shop), "price", (0.25, 0.5, 0.75), by)
+        quartiles = (F.round(F.col("quantiles")[i], 6).alias(n) for i, n in enumerate(("q1", "median", "q3")))
+        return found.select(*by, *quartiles)
+
+    def trimmed_prices(shop: Shop) -> DataFrame:
+        kept = datasets.remove_outliers_log(priced(shop), "price", by=[facts.CATEGORY], unbounded=True)
+        return kept.select("order_id", "order_item_id", "product_id", "price")
+
     updates = {
         f"update_customers_{name}": updated_column(name)
         for name in (
@@ -191,6 +205,12 @@ def _features() -> dict[str, Query]:
         "sales_series_weekly_by_state": on(
             datasets.sales_series, "weekly", by="customer_state"
         ),
+        "sales_series_levels": on(datasets.sales_series_levels),
+        "sales_series_level_totals": on(lambda shop: datasets.level_totals(datasets.sales_series_levels(shop))),
+        "product_popularity_ranked": on(features.ranked_product_popularity),
+        "price_quartiles": on(price_quartiles),
+        "price_quartiles_by_category": on(price_quartiles, True),
+        "item_prices_trimmed": on(trimmed_prices),
         "segmentation_dataset": on(datasets.segmentation_dataset),
         "recommendation_dataset": on(datasets.recommendation_dataset),
     }
@@ -236,6 +256,10 @@ def _segments() -> dict[str, Query]:
     def segmented(shop: Shop, keep: bool = True) -> DataFrame:
         return segments.segment_customers(feature_rows(shop), keep_unclustered=keep)
 
+    def split(shop: Shop) -> DataFrame:
+        rows = segmented(shop).groupBy(F.col("segment").isNotNull().alias("clustered"))
+        return rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(facts.PERSON).alias("persons"))
+
     return {
         "standardise": on(standardised),
         "segment_customers": on(segmented),
@@ -244,6 +268,11 @@ def _segments() -> dict[str, Query]:
         "segment_centres": on(lambda shop: segments.segment_centres(segmented(shop, False))),
         "segment_summary": on(lambda shop: segments.segment_summary(segmented(shop, False))),
         "segment_summary_by_rule": on(lambda shop: _rounded(segments.segment_summary(_by_rule(shop)))),
+        "clustering_scores": on(lambda shop: _rounded(segments.clustering_scores(_by_rule(shop), pair))),
+        "silhouette_on_sample": on(lambda shop: _rounded(segments.silhouette_on_sample(_by_rule(shop), pair))),
+        "segment_members": on(lambda shop: _rounded(segments.nearest_members(_by_rule(shop), facts.PERSON, pair))),
+        "segment_split": on(split),
+        "segment_model_centres": on(lambda shop: segments.model_centres(segments.fit_segments(feature_rows(shop)))),
         "calinski_harabasz": on(lambda shop: _rounded(segments.calinski_harabasz(_by_rule(shop), pair))),
         "davies_bouldin": on(lambda shop: _rounded(segments.davies_bouldin(_by_rule(shop), pair))),
     }
@@ -252,15 +281,27 @@ def _segments() -> dict[str, Query]:
 def _forecasts() -> dict[str, Query]:
     on = partial(_on, sample_shop)
 
-    def one_series(shop: Shop, frequency: str) -> DataFrame:
-        trimmed = datasets.remove_outliers_log(datasets.sales_series(shop, frequency), "y")
-        return trimmed.select(F.lit(frequency).alias("series_id"), "ds", "y")
-
     def state_series(shop: Shop) -> DataFrame:
         return datasets.sales_series(shop, "weekly", by="customer_state")
 
-    def both(shop: Shop) -> DataFrame:
-        return forecast.forecast(one_series(shop, "weekly").unionByName(one_series(shop, "daily")))
+    def levels(shop: Shop) -> DataFrame:
+        return datasets.sales_series_levels(shop, ("weekly", "daily"))
+
+    def all_levels(shop: Shop) -> DataFrame:
+        # One grouped fit for the shop, its states, its categories and their pairs.
+        series = cut_lineage(levels(shop).select("series_id", "ds", "y"))
+        return forecast.forecast(datasets.remove_outliers_log(series, "y", by=["series_id"]))
+
+    def given(shop: Shop) -> DataFrame:
+        """Forecasts that SQL can make, in the place of the models'."""
+        marked = forecast.train_test_split(state_series(shop))
+        naive = forecast.last_value_forecast(marked).withColumnRenamed("last_value", "arima")
+        line = forecast.linear_trend_forecast(marked).select("series_id", "ds", F.col("linear_trend").alias("seasonal"))
+        return forecast.ensemble(naive.join(line, ["series_id", "ds"]))
+
+    def test_rows(shop: Shop) -> DataFrame:
+        marked = forecast.train_test_split(levels(shop).select("series_id", "ds", "y"))
+        return marked.filter("is_test").drop("is_test")
 
     def by_state(shop: Shop) -> DataFrame:
         trimmed = datasets.remove_outliers_log(state_series(shop), "y", by=["series_id"])
@@ -278,8 +319,11 @@ def _forecasts() -> dict[str, Query]:
         "metrics_of_linear_trend": on(trend_metrics),
         "train_test_split": on(lambda shop: forecast.train_test_split(state_series(shop))),
         "metrics_of_last_value": on(naive_metrics),
-        "forecast_sales": on(both),
-        "forecast_metrics": on(lambda shop: forecast.forecast_metrics(both(shop))),
+        "forecast_test_rows": on(test_rows),
+        "ensemble_of_baselines": on(lambda shop: _rounded(given(shop))),
+        "metrics_of_baselines": on(lambda shop: _rounded(forecast.forecast_metrics(given(shop)))),
+        "forecast_sales": on(all_levels),
+        "forecast_metrics": on(lambda shop: forecast.forecast_metrics(all_levels(shop))),
         "forecast_sales_by_state": on(by_state),
         "forecast_metrics_by_state": on(lambda shop: forecast.forecast_metrics(by_state(shop))),
     }

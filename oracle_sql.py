@@ -283,6 +283,42 @@ POINTS = f"""points AS (
   FROM updated WHERE clv IS NOT NULL AND total_orders IS NOT NULL)"""
 CENTRES = "centres AS (SELECT segment, count(*) AS n, avg(a) AS ca, avg(b) AS cb FROM points GROUP BY 1)"
 
+SPREAD = """spread AS (SELECT segment, ca, cb, avg(sqrt(pow(a - ca, 2) + pow(b - cb, 2))) AS s
+                    FROM points JOIN centres USING (segment) GROUP BY 1, 2, 3)"""
+
+
+def silhouettes(distance: str) -> str:
+    """Mean silhouette of all points, pair by pair."""
+    return f"""numbered AS (SELECT *, row_number() OVER () AS p FROM points),
+      apart AS (SELECT x.p, x.segment, y.segment AS other, sum({distance}) AS total FROM numbered x, numbered y GROUP BY 1, 2, 3),
+      widths AS (
+        SELECT p, max(CASE WHEN segment = other THEN total / nullif(n - 1, 0) END) AS inside,
+               min(CASE WHEN segment <> other THEN total / n END) AS outside
+        FROM apart JOIN (SELECT segment AS other, n FROM centres) USING (other) GROUP BY 1),
+      silhouettes AS (
+        SELECT avg(coalesce((outside - inside) / nullif(greatest(outside, inside), 0), 0)) AS silhouette, count(*) AS rows,
+               (SELECT count(*) FROM centres) AS segments FROM widths)"""
+
+
+def _steps() -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{name}' AS frequency, CAST(date_trunc('{unit}', purchased) AS DATE) AS ds, customer_state AS state,
+                   product_category_name_english AS category, (price + freight_value) * order_item_id AS w
+            FROM shop_items JOIN shop_orders USING (order_id) LEFT JOIN shop_customers USING (customer_id)
+            LEFT JOIN shop_products USING (product_id) WHERE order_status = 'delivered'"""
+        for name, unit in (("quarterly", "quarter"), ("weekly", "week"), ("daily", "day"))
+    )
+
+
+LEVELS = f"""steps AS ({_steps()}),
+levels AS (
+  SELECT frequency, CASE grouping(state, category) WHEN 0 THEN 'state_category' WHEN 1 THEN 'state' WHEN 2 THEN 'category'
+           ELSE 'shop' END AS level, state, category,
+         frequency || CASE WHEN grouping(state) = 0 THEN '/state=' || coalesce(state, '?') ELSE '' END
+           || CASE WHEN grouping(category) = 0 THEN '/category=' || coalesce(category, '?') ELSE '' END AS series_id,
+         ds, CAST(sum(w) AS DOUBLE) AS y
+  FROM steps GROUP BY GROUPING SETS ((frequency, ds), (frequency, ds, state), (frequency, ds, category), (frequency, ds, state, category)))"""
+
 
 def oracle() -> dict[str, str]:
     q: dict[str, str] = {}
@@ -582,13 +618,15 @@ def oracle() -> dict[str, str]:
         return f"""SELECT '{name}' AS feature_name, CAST(to_json({{{body}}}) AS VARCHAR) AS feature_value,
                           TIMESTAMP '2001-08-01 00:00:00' AS computed_at FROM {source}"""
 
-    popularity = "(SELECT product_id, count(*) AS total_sales FROM sold WHERE order_status = 'delivered' GROUP BY 1)"
+    popularity = """(SELECT *, row_number() OVER (ORDER BY total_sales DESC, product_id) AS popularity_rank FROM
+                       (SELECT product_id, count(*) AS total_sales FROM sold WHERE order_status = 'delivered' GROUP BY 1))"""
+    q["product_popularity_ranked"] = over_shop(f"SELECT * FROM {popularity}")
     person = "customer_unique_id"
     q["precomputed_features"] = over_shop(
         " UNION ALL ".join(
             [
                 entries("customer_product_purchases", (person, "product_id", "total_purchases"), "pairs"),
-                entries("top_product_popularity", ("product_id", "total_sales"), popularity),
+                entries("top_product_popularity", ("product_id", "total_sales", "popularity_rank"), popularity),
                 entries("customer_top_categories", (person, "category", "total_purchases"), "categories"),
             ]
         ),
@@ -599,6 +637,29 @@ def oracle() -> dict[str, str]:
         q[f"sales_series_{name}"] = over_shop(series(unit))
         q[f"sales_series_{name}_trimmed"] = trimmed(unit)
     q["sales_series_weekly_by_state"] = over_shop("SELECT * FROM state_series_all", STATE_SERIES_ALL)
+    q["sales_series_levels"] = over_shop("SELECT * FROM levels", LEVELS)
+    q["sales_series_level_totals"] = over_shop(
+        """SELECT frequency, level, round(total, 2) AS total, series FROM
+             (SELECT frequency, sum(y) AS total FROM levels WHERE level = 'shop' GROUP BY 1) JOIN
+             (SELECT frequency, level, count(DISTINCT (state, category)) AS series FROM levels GROUP BY 1, 2) USING (frequency)""",
+        LEVELS,
+    )
+    quartiles = ", ".join(
+        f"round(quantile_cont(CAST(price AS DOUBLE), {share}), 6) AS {name}"
+        for share, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))
+    )
+    q["price_quartiles"] = over_shop(f"SELECT {quartiles} FROM shop_items")
+    q["price_quartiles_by_category"] = over_shop(
+        f"SELECT product_category_name, {quartiles} FROM shop_items JOIN shop_products USING (product_id) GROUP BY 1"
+    )
+    q["item_prices_trimmed"] = over_shop(
+        """SELECT order_id, order_item_id, product_id, price FROM priced JOIN
+             (SELECT category, quantile_cont(ln(price), 0.25) AS q1, quantile_cont(ln(price), 0.75) AS q3 FROM priced GROUP BY 1)
+             USING (category)
+           WHERE ln(price) BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) AND q3 + 1.5::DOUBLE * (q3 - q1)""",
+        """priced AS (SELECT i.order_id, i.order_item_id, product_id, CAST(price AS DOUBLE) AS price, product_category_name AS category
+                      FROM shop_items i JOIN shop_products USING (product_id))""",
+    )
     q["segmentation_dataset"] = updated(
         """customer_unique_id, customer_state, customer_city, clv, total_orders, avg_order_value,
            avg_days_between_orders, avg_shipping_cost, estimated_return_rate"""
@@ -633,6 +694,35 @@ def oracle() -> dict[str, str]:
         """spread AS (SELECT segment, ca, cb, avg(sqrt(pow(a - ca, 2) + pow(b - cb, 2))) AS s
                       FROM points JOIN centres USING (segment) GROUP BY 1, 2, 3)""",
     )
+    q["clustering_scores"] = over_shop(
+        """SELECT round(silhouette, 6) AS silhouette,
+                  round((SELECT sum(n * (pow(ca - ga, 2) + pow(cb - gb, 2))) / (count(*) - 1)
+                         FROM centres, (SELECT avg(a) AS ga, avg(b) AS gb FROM points))
+                      / (SELECT sum(pow(a - ca, 2) + pow(b - cb, 2)) / (count(*) - (SELECT count(*) FROM centres))
+                         FROM points JOIN centres USING (segment)), 6) AS calinski_harabasz,
+                  round((SELECT avg(worst) FROM (
+                    SELECT x.segment, max((x.s + y.s) / sqrt(pow(x.ca - y.ca, 2) + pow(x.cb - y.cb, 2))) AS worst
+                    FROM spread x JOIN spread y ON x.segment <> y.segment GROUP BY 1)), 6) AS davies_bouldin
+           FROM silhouettes""",
+        UPDATED, POINTS, CENTRES, SPREAD, silhouettes("pow(x.a - y.a, 2) + pow(x.b - y.b, 2)"),
+    )
+    # The sample is larger than the table at the scale where the two are compared.
+    q["silhouette_on_sample"] = over_shop(
+        """SELECT round(silhouette, 6) AS silhouette, rows AS sample_rows, segments FROM silhouettes""",
+        UPDATED, POINTS, CENTRES, silhouettes("sqrt(pow(x.a - y.a, 2) + pow(x.b - y.b, 2))"),
+    )
+    q["segment_members"] = over_shop(
+        """SELECT segment, row_number() OVER nearest AS member_rank, customer_unique_id, distance,
+                  round(a, 6) AS clv, round(b, 6) AS avg_shipping_cost FROM (
+             SELECT *, round(sqrt(pow((a - ca) / sa, 2) + pow((b - cb) / sb, 2)), 6) AS distance
+             FROM points JOIN centres USING (segment), (SELECT stddev_pop(a) AS sa, stddev_pop(b) AS sb FROM points))
+           WINDOW nearest AS (PARTITION BY segment ORDER BY distance, customer_unique_id)
+           QUALIFY row_number() OVER nearest <= 5""",
+        UPDATED, POINTS, CENTRES,
+    )
+    q["segment_split"] = updated(
+        f"{known} AS clustered, count(*) AS rows, count(DISTINCT customer_unique_id) AS persons"
+    ) + " GROUP BY 1"
     q["segment_summary_by_rule"] = over_shop(
         """SELECT segment AS segment_label, count(DISTINCT customer_unique_id) AS number_of_customers,
                   round(avg(a), 6) AS avg_clv, round(avg(avg_order_value), 6) AS avg_aov_segment,
@@ -655,6 +745,10 @@ def oracle() -> dict[str, str]:
         STATE_SERIES_ALL, SPLIT, naive,
     )
 
+    everything = "split_levels AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds DESC) AS k FROM levels)"
+    q["forecast_test_rows"] = over_shop(
+        "SELECT series_id, ds, y FROM split_levels WHERE k <= 6 AND frequency IN ('weekly', 'daily')", LEVELS, everything
+    )
     line = """trend AS (
       SELECT s.series_id, s.y, t.ym + coalesce(t.slope, 0) * (s.ds - DATE '1970-01-01' - t.xm) AS line FROM split s JOIN
         (SELECT series_id, regr_slope(y, ds - DATE '1970-01-01') AS slope, avg(y) AS ym, avg(ds - DATE '1970-01-01') AS xm
@@ -667,6 +761,28 @@ def oracle() -> dict[str, str]:
         STATE_SERIES_ALL, SPLIT, line,
     )
 
+    given = """given AS (
+      SELECT s.series_id, s.ds, s.y, t.last AS arima, t.ym + coalesce(t.slope, 0) * (s.ds - DATE '1970-01-01' - t.xm) AS seasonal
+      FROM split s JOIN
+        (SELECT series_id, arg_max(y, ds) AS last, regr_slope(y, ds - DATE '1970-01-01') AS slope, avg(y) AS ym,
+                avg(ds - DATE '1970-01-01') AS xm
+         FROM split WHERE NOT is_test AND y IS NOT NULL GROUP BY 1) t USING (series_id) WHERE is_test)"""
+    models = ("arima", "seasonal", "ensemble")
+    q["ensemble_of_baselines"] = over_shop(
+        """SELECT series_id, ds, round(y, 6) AS y, round(arima, 6) AS arima, round(seasonal, 6) AS seasonal,
+                  round((arima + seasonal) / 2, 6) AS ensemble FROM given""",
+        STATE_SERIES_ALL, SPLIT, given,
+    )
+    q["metrics_of_baselines"] = over_shop(
+        """SELECT series_id, model, round(avg(abs(y - f) / greatest(abs(y), 2.220446049250313e-16)) * 100, 6) AS mape_pct,
+                  round(sqrt(avg(pow(y - f, 2))), 6) AS rmse, round(avg(abs(y - f)), 6) AS mae,
+                  round(1 - sum(pow(y - f, 2)) / (var_pop(y) * count(y)), 6) AS r2
+           FROM long GROUP BY 1, 2""",
+        STATE_SERIES_ALL, SPLIT, given,
+        "with_mean AS (SELECT *, (arima + seasonal) / 2 AS ensemble FROM given)",
+        "long AS (" + " UNION ALL ".join(f"SELECT series_id, y, '{m}' AS model, {m} AS f FROM with_mean" for m in models) + ")",
+    )
+
     # Cleaning over the raw tables made from the sample tables
     q["clean_customers"] = """
       SELECT o_custkey AS customer_id, o_orderpriority AS customer_city FROM orders

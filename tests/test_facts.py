@@ -11,7 +11,7 @@ from mercadia.functions.params import Period
 from mercadia.operators import customers, datasets, features, kpis, logistics, orders, products
 from mercadia.plans import pipelines
 from mercadia.registry import PERIOD
-from mercadia.sources import warehouse
+from mercadia.sources import versions, warehouse
 from mercadia.sources.raw_csv import read_dataset
 from mercadia.sources.sample_tables import sample_shop
 from tests.conftest import SMALL
@@ -114,11 +114,12 @@ def test_bucketed_tables_join_without_a_shuffle(spark, base, tmp_path):
 
 
 def test_feature_tables_and_datasets_are_written(spark, base, tmp_path):
-    pipelines.run_features(base, str(tmp_path), datetime(2001, 8, 1))
+    folder = pipelines.run_features(base, str(tmp_path), datetime(2001, 8, 1))
     store = spark.read.parquet(f"{tmp_path}/precomputed_features")
     names = {r[0] for r in store.select("feature_name").distinct().collect()}
     assert names == {"customer_product_purchases", "top_product_popularity", "customer_top_categories"}
-    assert spark.read.parquet(f"{tmp_path}/customers").count() == base.customers.count()
+    assert folder.endswith("version=20010801T000000")
+    assert versions.read_current(spark, str(tmp_path), "customers").count() == base.customers.count()
 
     pipelines.run_datasets(base, f"{tmp_path}/ml")
     weekly = read_dataset(spark, f"{tmp_path}/ml/forecasting_dataset_weekly", "forecasting")

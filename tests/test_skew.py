@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import random
 from collections import Counter, defaultdict
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 
-from mercadia.operators import customers, features
+from mercadia.functions.params import Period
+from mercadia.operators import customers, features, products
 from mercadia.plans import facts
 
 
@@ -82,29 +83,110 @@ def test_results_do_not_depend_on_partitions(hot, spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def test_a_hot_order_is_split_at_item_grain(hot, spark):
-    """With thresholds scaled down to the fixture, AQE splits the hot order's partition."""
+SMALL = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.shuffle.partitions": "16",
+}
+
+
+@pytest.fixture
+def scaled_down(spark):
+    """Thresholds of the skew split scaled down to the fixture."""
+    before = {key: spark.conf.get(key) for key in SMALL}
+    for key, value in SMALL.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def executed(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_hot_order_is_split_at_item_grain(hot, scaled_down):
+    """AQE splits the hot order's partition."""
     shop = hot[-1]
-    small = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
-        "spark.sql.adaptive.coalescePartitions.enabled": "false",
-        "spark.sql.shuffle.partitions": "16",
+    expected = Counter()
+    status = {o["order_id"]: o["order_status"] for o in hot[1]}
+    for i in hot[2]:
+        expected[i["product_id"]] += status[i["order_id"]] == "delivered"
+    df = features.product_popularity(shop.but(order_items=shop.order_items.repartition(8)))
+    assert {r["product_id"]: r["total_sales"] for r in df.collect()} == {k: n for k, n in expected.items() if n}
+    assert "skew=true" in executed(df)
+
+
+YEAR = Period.of_days(date(2020, 1, 1), date(2020, 12, 31))
+
+
+@pytest.fixture(scope="module")
+def reviewed(hot, make_shop):
+    """The hot shop with products of four categories and 0 to 3 reviews per order."""
+    rng = random.Random(9)
+    _, orders, items, shop = hot
+    reviews = [
+        {"review_id": f"r{o['order_id']}-{k}", "order_id": o["order_id"], "review_score": rng.randrange(1, 6)}
+        for o in orders
+        for k in range(rng.randrange(4))
+    ]
+    names = [{"product_id": f"x{k}", "product_category_name_english": [None, "a", "b", "c"][k % 4]} for k in range(40)]
+    more = make_shop(reviews=reviews, products=names)
+    whole = shop.but(reviews=more.reviews, products=more.products)
+    return orders, items, reviews, whole
+
+
+def brute_matrix(orders, items, reviews) -> dict[str, tuple]:
+    status = {o["order_id"]: o["order_status"] for o in orders}
+    scores = defaultdict(list)
+    for r in reviews:
+        scores[r["order_id"]].append(r["review_score"])
+    revenue, units, seen, all_, canceled = Counter(), defaultdict(set), defaultdict(list), Counter(), Counter()
+    for i in items:
+        category = [None, "a", "b", "c"][int(i["product_id"][1:]) % 4]
+        if category is None:
+            continue
+        kind, own = status[i["order_id"]], scores[i["order_id"]]
+        all_[category] += 1
+        canceled[category] += kind == "canceled"
+        if kind == "delivered":
+            revenue[category] += round((i["price"] + i["freight_value"]) * 100) * max(1, len(own))
+            units[category].add(i["order_item_id"])
+            seen[category] += own
+    return {
+        c: (revenue[c] / 100, len(units[c]), sum(seen[c]) / len(seen[c]), 100 * canceled[c] / all_[c]) for c in units
     }
-    before = {key: spark.conf.get(key) for key in small}
-    items = shop.order_items.repartition(8)
-    expected = sorted(map(str, features.product_popularity(shop).collect()))
-    try:
-        for key, value in small.items():
-            spark.conf.set(key, value)
-        df = features.product_popularity(shop.but(order_items=items))
-        assert sorted(map(str, df.collect())) == expected
-        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
+
+
+def rounded(rows) -> dict[str, tuple]:
+    return {r[0]: tuple(round(v, 6) for v in r[1:]) for r in rows}
+
+
+def test_categories_of_a_hot_order(reviewed, scaled_down):
+    """One join of the items, split at the hot order; nothing shuffles items after it."""
+    orders, items, reviews, shop = reviewed
+    expected = {c: tuple(round(v, 6) for v in row) for c, row in brute_matrix(orders, items, reviews).items()}
+    shop = shop.but(order_items=shop.order_items.repartition(8))
+    performance, matrix = products.category_performance(shop, YEAR), products.category_matrix(shop, YEAR)
+    assert rounded(performance.collect()) == {c: row[:3] for c, row in expected.items()}
+    assert rounded(matrix.collect()) == expected
+    for df in (performance, matrix):
+        plan = executed(df).partition("Initial Plan")[0]
+        assert "skew=true" in plan
+        # Items are shuffled to their orders, and then only as sums per product and line.
+        shuffles = [line for line in plan.splitlines() if " Exchange " in line]
+        assert sum("hashpartitioning(order_id" in line and "REPARTITION" not in line for line in shuffles) <= 4
+        assert plan.count("order_item_id") and "skew=true" in plan
+
+
+def test_categories_from_facts_of_a_hot_order(reviewed):
+    orders, items, reviews, shop = reviewed
+    stored = shop.but(sales_fact=facts.build_sales_fact(shop), order_fact=facts.build_order_fact(shop))
+    expected = {c: tuple(round(v, 6) for v in row) for c, row in brute_matrix(orders, items, reviews).items()}
+    assert rounded(products.category_matrix(stored, YEAR).collect()) == expected
 
 
 def test_roll_up_folds_the_hot_person(hot):
