@@ -124,9 +124,15 @@ def remove_outliers_log(
     return logged.filter(F.col("_log").between(low - reach, high + reach)).select(df.columns)
 
 
-def segmentation_dataset(shop: Shop) -> DataFrame:
-    """Feature columns of every customer id; people with several ids repeat."""
-    return update_customers(shop).select(
+def segmentation_dataset(shop: Shop, grain: str = "customer") -> DataFrame:
+    """Feature columns of every customer id, or of every person; people with several ids repeat in the first.
+
+    A person with several ids takes the first state and city by name.
+    """
+    if grain not in ("customer", "person"):
+        raise ValueError(f"grain must be customer or person, not {grain!r}")
+    # The nine columns of the data set.
+    rows = update_customers(shop).select(
         PERSON,
         "customer_state",
         "customer_city",
@@ -137,6 +143,10 @@ def segmentation_dataset(shop: Shop) -> DataFrame:
         "avg_shipping_cost",
         "estimated_return_rate",
     )
+    if grain == "customer":
+        return rows
+    first = {"customer_state", "customer_city"}
+    return rows.groupBy(PERSON).agg(*((F.min if c in first else F.max)(c).alias(c) for c in rows.columns if c != PERSON))
 
 
 def recommendation_dataset(shop: Shop) -> DataFrame:

@@ -192,7 +192,8 @@ def purchase_documents(shop: Shop, parts: int = 1) -> DataFrame:
 
     ``person_product_counts`` has the same counts as rows. Every person's products are
     dealt by hash to the same number of ``parts``, each a document of its own, so the grain
-    does not depend on the data; choose more parts where persons have very many products.
+    does not depend on the data; choose more parts where persons have very many products. A row
+    says which ``document`` it is and of how many ``documents``.
     """
     part = F.pmod(F.xxhash64("product_id"), F.lit(parts))
     return (
@@ -203,6 +204,7 @@ def purchase_documents(shop: Shop, parts: int = 1) -> DataFrame:
                 F.array_sort(F.collect_list(F.struct("product_id", "total_purchases")))
             ).alias("product_purchases")
         )
+        .withColumn("documents", F.lit(parts))
     )
 
 

@@ -41,6 +41,31 @@ def main_kpis(shop: Shop, period: Period) -> DataFrame:
     return _figures(shop, _delivered_totals(shop, period))
 
 
+def kpis_first_ever(shop: Shop, period: Period) -> DataFrame:
+    """Headline figures in which a customer is new when the first delivered order ever falls in the period.
+
+    One pass over all delivered orders up to the end of the period.
+    """
+    history = period.keep_until_end(delivered(orders_of(shop, totals=True)))
+    inside = F.col(PURCHASE) >= ntz(period.start)
+    orders = history.withColumns(
+        {
+            "own_cents": F.when(inside, F.col("revenue_cents")),
+            "orders": F.when(inside, 1).otherwise(0),
+            "first": F.col(PURCHASE),
+        }
+    )
+    people = roll_up(shop, orders, PERSON, sums=("own_cents", "orders"), mins=("first",))
+    revenue = amount(F.sum("own_cents"))
+    return people.agg(
+        F.coalesce(F.sum("orders"), F.lit(0)).alias("total_orders"),
+        revenue.alias("total_revenue"),
+        ratio(revenue, F.sum("orders")).alias("avg_order_value"),
+        F.count(F.when(F.col("orders") > 0, F.lit(1))).alias("active_customers"),
+        F.count(F.when(F.col("first") >= ntz(period.start), F.lit(1))).alias("new_customers"),
+    )
+
+
 def kpis_against_previous(shop: Shop, period: Period) -> DataFrame:
     """Headline figures of the period, of the one before, and their difference.
 

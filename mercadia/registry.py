@@ -51,6 +51,7 @@ def _business_health() -> dict[str, Query]:
     return {
         "main_kpis": on(kpis.main_kpis, PERIOD),
         "kpis_against_previous": on(kpis.kpis_against_previous, PERIOD),
+        "kpis_first_ever": on(kpis.kpis_first_ever, PERIOD),
         "gross_margin": on(kpis.gross_margin, PERIOD),
         "new_customer_rate": on(kpis.new_customer_rate, PERIOD),
         "revenue_orders_trend_month": on(kpis.revenue_orders_trend, PERIOD, "ME"),
@@ -212,6 +213,7 @@ def _features() -> dict[str, Query]:
         "price_quartiles_by_category": on(price_quartiles, True),
         "item_prices_trimmed": on(trimmed_prices),
         "segmentation_dataset": on(datasets.segmentation_dataset),
+        "segmentation_dataset_by_person": on(datasets.segmentation_dataset, "person"),
         "recommendation_dataset": on(datasets.recommendation_dataset),
     }
 

@@ -326,6 +326,15 @@ def oracle() -> dict[str, str]:
     # Business health
     q["main_kpis"] = over_shop(kpis(START, END))
     q["kpis_against_previous"] = _against_previous()
+    q["kpis_first_ever"] = over_shop(
+        f"""SELECT count(DISTINCT order_id) AS total_orders, {money('sum(rev)')} AS total_revenue,
+                   {per('sum(rev)', 'count(DISTINCT order_id)')} AS avg_order_value,
+                   count(DISTINCT customer_unique_id) AS active_customers,
+                   (SELECT count(*) FROM (SELECT min(purchased) AS first FROM sold
+                      WHERE order_status = 'delivered' AND purchased <= {END} GROUP BY customer_unique_id) WHERE first >= {START})
+                     AS new_customers
+            FROM sold WHERE {DELIVERED}"""
+    )
     q["gross_margin"] = over_shop(
         """SELECT r AS total_revenue, r * 0.6::DOUBLE AS cogs, r - r * 0.6::DOUBLE AS gross_profit,
                   coalesce((r - r * 0.6::DOUBLE) / nullif(r, 0) * 100::DOUBLE, 0) AS gross_margin_pct FROM total""",
@@ -593,10 +602,11 @@ def oracle() -> dict[str, str]:
     documents = """documents_of AS (
       SELECT customer_unique_id, CAST(to_json(list({'product_id': product_id, 'total_purchases': total_purchases}
                ORDER BY product_id)) AS VARCHAR) AS product_purchases FROM pairs GROUP BY 1)"""
-    q["purchase_documents"] = over_shop("SELECT *, 0::BIGINT AS document FROM documents_of", PAIRS, documents)
+    q["purchase_documents"] = over_shop("SELECT *, 0::BIGINT AS document, 1 AS documents FROM documents_of", PAIRS, documents)
     q["update_customers_product_purchases"] = over_shop(
         """SELECT customer_id, customer_unique_id, product_purchases,
-                  CASE WHEN product_purchases IS NOT NULL THEN 0::BIGINT END AS document
+                  CASE WHEN product_purchases IS NOT NULL THEN 0::BIGINT END AS document,
+                  CASE WHEN product_purchases IS NOT NULL THEN 1 END AS documents
            FROM shop_customers LEFT JOIN documents_of USING (customer_unique_id)""",
         PAIRS,
         documents,
@@ -664,6 +674,12 @@ def oracle() -> dict[str, str]:
         """customer_unique_id, customer_state, customer_city, clv, total_orders, avg_order_value,
            avg_days_between_orders, avg_shipping_cost, estimated_return_rate"""
     )
+    q["segmentation_dataset_by_person"] = updated(
+        """customer_unique_id, min(customer_state) AS customer_state, min(customer_city) AS customer_city, any_value(clv) AS clv,
+           any_value(total_orders) AS total_orders, any_value(avg_order_value) AS avg_order_value,
+           any_value(avg_days_between_orders) AS avg_days_between_orders, any_value(avg_shipping_cost) AS avg_shipping_cost,
+           any_value(estimated_return_rate) AS estimated_return_rate"""
+    ) + " GROUP BY 1"
     q["recommendation_dataset"] = over_shop(
         "SELECT customer_unique_id, product_id, total_purchases AS purchase_count FROM pairs", PAIRS
     )

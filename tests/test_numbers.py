@@ -212,6 +212,21 @@ def test_both_periods_in_one_pass(spark, make_shop, order, item, people):
     assert (row.total_orders, row.total_revenue, row.previous_active_customers, row.delta_new_customers) == (0, None, 0, 0)
 
 
+def test_new_customers_of_all_history(make_shop, order, item, people):
+    shop = make_shop(
+        customers=people({"c1": "old", "c2": "old", "c3": "new", "c4": "later"}),
+        orders=[
+            order("o1", "c1", "2017-05-01"), order("o2", "c2", "2018-01-01"), order("o3", "c3", "2018-01-02"),
+            order("o4", "c4", "2018-01-01", "canceled"), order("o5", "c4", "2018-02-01"),
+        ],
+        order_items=[item(f"o{k}") for k in range(1, 6)],
+    )
+    row = kpis.kpis_first_ever(shop, Period.of_days(date(2018, 1, 1), date(2018, 1, 31))).first()
+    assert (row.total_orders, row.total_revenue, row.active_customers, row.new_customers) == (2, 22.0, 2, 1)
+    row = kpis.kpis_first_ever(shop, Period.of_days(date(2016, 1, 1), date(2016, 1, 31))).first()
+    assert (row.total_orders, row.total_revenue, row.active_customers, row.new_customers) == (0, None, 0, 0)
+
+
 # --- clustering scores ------------------------------------------------------------------
 
 
