@@ -14,16 +14,20 @@ have an earlier point, and a weight costs the logarithm of its size.
 
 Bands of five components propose pairs. Documents of equal words are one node from the start. In
 each bucket all nodes are compared with the one that shares most buckets with others, as the
-original of many copies does, which links a group of copies in one round;
-then, in buckets that still hold several classes, the leader is set aside and further leaders are
-compared, more of them in each round, until every remaining pair of a bucket is checked or of one
-class already; pairs whose weights rule out enough overlap are passed over. So no proposed link is lost, no group of copies is expanded into pairs, and nothing
-is gathered in one place. With 25 bands a pair at 0.8 is proposed with
-probability 0.99995, one at 0.9 practically always.
+original of many copies does, which links a group of copies in one round; then, in buckets that
+still hold several classes, the leader is set aside and further leaders are compared, more of them in each
+round (none, 3, 15, 63, ... drawn ones besides the first), until every remaining pair of a bucket
+is checked or of one class already. A pair meets in the first of its common buckets only. After the
+first round the runs of what is left are counted: runs that no other node has cannot overlap, which
+bounds the similarity of a node, and of a pair, from above; nodes and pairs whose bound is below the
+threshold are passed over without reading their texts. The bound is exact, so no proposed link is
+lost; no group of copies is expanded into pairs, and nothing is gathered in one place. With 25 bands
+a pair at 0.8 is proposed with probability 0.99995, one at 0.9 practically always.
 
 A document of fewer than five words is one run of all its words. A null text or one without a word
-is alone in a class of its own. Null ids are allowed; a class is named by its least id. Repeated
-rows are duplicates of each other. An empty table gives an empty one.
+is alone in a class of its own. Very long texts are read whole. Null ids are allowed; a class is named by its
+least id. Repeated rows are duplicates of each other, ties between leaders go to the least node, and further
+columns are ignored. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -241,15 +245,45 @@ def alike(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(kept, "a binary, b binary")
 
 
-def linked_nodes(proposals: DataFrame, docs: DataFrame, first_ids: DataFrame, similarity: float, tables: Tables) -> DataFrame:
-    """Rows (node, root) of all nodes that some verified link joins to another node."""
+def lone_weights(bags: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (owner, lone): the weight of a node's runs that no other of these nodes has.
+
+    The owner is a hash of the node. A run is counted where it is before it is shuffled, so a run
+    that very many nodes have costs one row for each task.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = [(len(bag.as_buffer()) // 12, bag.as_buffer()) for bag in batch.column(1)]
+            sizes = np.array([n for n, _ in parts], np.int64)
+            found = [np.frombuffer(bag, np.int64, n) for n, bag in parts]
+            times = [np.frombuffer(bag, np.uint32, n, 8 * n).astype(np.int64) for n, bag in parts]
+            owner = np.repeat(batch.column(0).to_numpy(), sizes)
+            columns = [pa.array(np.concatenate(x)) for x in (found, times)]
+            yield pa.record_batch([*columns, pa.array(owner)], ["run", "times", "owner"])
+
+    own = bags.join(nodes, "node", "left_semi").select(F.xxhash64("node").alias("owner"), "bag")
+    each = own.mapInArrow(of, "run long, times long, owner long")
+    runs_ = each.groupBy("run").agg(F.count("*").alias("n"), F.min("owner").alias("owner"), F.sum("times").alias("times"))
+    return runs_.filter("n = 1").groupBy("owner").agg(F.sum("times").alias("lone"))
+
+
+def linked_nodes(proposals: DataFrame, docs: DataFrame, unique: DataFrame, similarity: float, tables: Tables) -> DataFrame:
+    """Rows (node, root) of all nodes that some verified link joins to another node.
+
+    `proposals` has rows (key, node, weight), `unique` rows (node, doc_id, bands).
+    """
     buckets = proposals.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
     met = proposals.join(buckets.select("key", "n"), "key")
     # The original of many copies shares more buckets with them than they share with each other.
-    company = met.groupBy("node").agg((-F.sum("n")).alias("order"))
-    state = tables.stored(met.select("key", "node", "weight").join(company, "node").select("key", "node", "weight", "order"))
+    company = met.groupBy("node").agg((-F.sum("n")).alias("order")).join(unique.select("node", "bands"), "node")
+    known = met.select("key", "node", "weight").join(company, "node")
+    columns = ["key", "node", "weight", "shared", "order", "bands"]
+    state = tables.stored(known.withColumn("shared", F.col("weight")).select(columns))
     nodes = state.select("node").distinct()
-    wanted = tables.stored(first_ids.join(nodes, "node"))
+    wanted = tables.stored(unique.select("node", "doc_id").join(nodes, "node"))
     keyed = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = multisets(texts.join(keyed, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text"))
@@ -262,15 +296,24 @@ def linked_nodes(proposals: DataFrame, docs: DataFrame, first_ids: DataFrame, si
         named = state.join(labels, "node")
         sizes = named.groupBy("key").agg(F.min(F.struct("order", "node")).alias("first"), F.count("*").alias("n"))
         drawn = (F.xxhash64("node").bitwiseAND(F.lit((1 << 62) - 1)) / F.lit(float(1 << 62))) < F.lit(leaders - 1) / F.col("n")
-        members = tables.stored(named.join(sizes, "key").select("key", "node", "weight", "order", "root", ((F.col("node") == F.col("first.node")) | drawn).alias("leads")))
+        leads = (F.col("node") == F.col("first.node")) | drawn
+        members = tables.stored(named.join(sizes, "key").select(*columns, "root", leads.alias("leads")))
         first = members.filter("leads").select(
-            F.col("key").alias("a_key"), F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("weight").alias("a_weight")
+            F.col("key").alias("a_key"),
+            F.col("node").alias("a"),
+            F.col("root").alias("a_root"),
+            F.col("weight").alias("a_weight"),
+            F.col("shared").alias("a_shared"),
+            F.col("bands").alias("a_bands"),
         )
-        # Texts whose weights differ more than this cannot overlap enough.
-        near = F.least("weight", "a_weight") >= F.greatest("weight", "a_weight") * F.lit(similarity - 1e-9)
+        # No more than the shared weight of either can overlap.
+        most = F.least("shared", "a_shared")
+        near = most >= (F.col("weight") + F.col("a_weight") - most) * F.lit(similarity - 1e-9)
         open_ = (F.col("root") != F.col("a_root")) & (~F.col("leads") | (F.col("a") < F.col("node")))
-        met = first.join(members, (F.col("key") == F.col("a_key")) & near & open_)
-        links = tables.stored(alike(met.select("a", F.col("node").alias("b")).distinct(), bags, similarity))
+        # A pair that shares several buckets meets in the first of them only.
+        common = F.filter(F.zip_with("bands", "a_bands", lambda x, y: F.when(x == y, x)), lambda k: k.isNotNull())
+        met = first.join(members, (F.col("key") == F.col("a_key")) & near & open_ & (common[0] == F.col("key")))
+        links = tables.stored(alike(met.select("a", F.col("node").alias("b")), bags, similarity))
         before = labels
         if links.take(1):
             left = labels.select(F.col("node").alias("a"), F.col("root").alias("from"))
@@ -279,9 +322,17 @@ def linked_nodes(proposals: DataFrame, docs: DataFrame, first_ids: DataFrame, si
             merged = components(ends, tables).select(F.col("node").alias("root"), F.col("root").alias("new"))
             labels = tables.stored(labels.join(merged, "root", "left").select("node", F.coalesce("new", "root").alias("root")))
         # A bucket whose nodes are all of one class has nothing left to compare.
-        rest = members.filter("not leads").select("key", "node", "weight", "order")
+        rest = members.filter("not leads").select(columns)
         spans = rest.join(labels, "node").groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"))
         after = tables.stored(rest.join(spans.filter("x <> y").select("key"), "key"))
+        if leaders == 1:
+            # What is left mostly differs. Texts with too many runs of their own are like no other.
+            lone = lone_weights(bags, after.select("node").distinct())
+            weighed = after.join(lone, F.xxhash64("node") == F.col("owner"), "left")
+            weighed = weighed.withColumn("shared", F.col("weight") - F.coalesce("lone", F.lit(0))).select(columns)
+            kept = tables.stored(weighed.filter(F.col("shared") >= F.col("weight") * F.lit(similarity - 1e-9)))
+            tables.drop(after)
+            after = kept
         tables.drop(state, members, links, *([before] if before is not labels else []))
         state, leaders = after, leaders * GROWTH
     tables.drop(bags, wanted)
@@ -303,7 +354,7 @@ def duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: in
     unique = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     unique = tables.stored(unique)
     proposals = unique.select("node", "weight", F.explode("bands").alias("key"))
-    labels = linked_nodes(proposals, docs, unique.select("node", "doc_id"), similarity, tables)
+    labels = linked_nodes(proposals, docs, unique.select("node", "doc_id", "bands"), similarity, tables)
     counts = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     rooted = counts.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "n")
     classes = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
