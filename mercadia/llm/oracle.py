@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from mercadia.llm import licenses, quality_rules
-from mercadia.llm.positional_index import WINDOW_WORDS
+from mercadia.llm.positional_index import SHARE, SLOP, WINDOW_WORDS
 
 
 def quoted(text: str) -> str:
@@ -82,7 +82,8 @@ def quality() -> str:
       NOT base_failed AND len(found) = 0 AS kept, array_to_string(found, ',') AS broken_rules FROM judged"""
 
 
-def contamination() -> str:
+def contamination(columns: str) -> str:
+    """Exact and proximity matches, each pair of a text and a window by itself."""
     size = WINDOW_WORDS
 
     def words(column: str) -> str:
@@ -102,10 +103,34 @@ def contamination() -> str:
       FROM rows, sizes, LATERAL (SELECT unnest(range(1, len(words) - size + 2)) AS k) t WHERE len(words) >= size),
     hits AS (SELECT r, k, s.size, item FROM spans s JOIN windows w ON s.phrase = w.phrase AND s.size = w.size),
     hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + size)) AS p FROM hits) GROUP BY r),
-    named AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY r)
-    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-      sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-    FROM rows LEFT JOIN hit USING (r) LEFT JOIN named USING (r)"""
+    named AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY r),
+    needs AS (
+      SELECT phrase, any_value(size) AS size, greatest(1, (any_value(size) * {SHARE} + 99) // 100) AS need FROM windows GROUP BY phrase),
+    offsets AS (SELECT phrase, unnest(string_split(phrase, ' ')) AS term, generate_subscripts(string_split(phrase, ' '), 1) AS o FROM needs),
+    positions AS (SELECT r, unnest(words) AS term, generate_subscripts(words, 1) AS p FROM rows),
+    likely AS (
+      SELECT r, phrase FROM (SELECT DISTINCT r, term FROM positions) JOIN
+        (SELECT phrase, term, count(*) AS times FROM offsets GROUP BY 1, 2) USING (term) JOIN needs USING (phrase)
+      GROUP BY r, phrase, need HAVING sum(times) >= need),
+    starts AS (
+      SELECT r, phrase, term, o, p, p - o AS s FROM likely JOIN offsets USING (phrase) JOIN positions USING (r, term)),
+    firsts AS (SELECT DISTINCT r, phrase, s AS low FROM starts),
+    words_met AS (
+      SELECT r, phrase, low, term, least(count(DISTINCT o), count(DISTINCT p)) AS met
+      FROM firsts JOIN starts USING (r, phrase) WHERE s BETWEEN low AND low + {SLOP} GROUP BY ALL),
+    near AS (
+      SELECT DISTINCT r, phrase FROM (SELECT r, phrase, low, sum(met) AS met FROM words_met GROUP BY ALL) JOIN needs USING (phrase)
+      WHERE met >= need),
+    near_named AS (
+      SELECT r, count(DISTINCT item) AS n_near_items, string_agg(DISTINCT item, ',' ORDER BY item) AS near_items
+      FROM near JOIN windows USING (phrase) GROUP BY r)
+    SELECT {columns}
+    FROM rows LEFT JOIN hit USING (r) LEFT JOIN named USING (r) LEFT JOIN near_named USING (r)"""
+
+
+CONTAMINATION = """doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+      sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+      coalesce(n_near_items, 0)::BIGINT AS n_near_items, coalesce(near_items, '') AS near_items"""
 
 
 def licence_report() -> str:
@@ -172,6 +197,8 @@ def llm_oracle() -> dict[str, str]:
         "op4_redirect_equivalence": url_verdicts(),
         "op6_quality_rules": quality(),
         "op7_licence_sentences": licence_report(),
-        "op9_positional_index_decontamination": contamination(),
+        "op9_positional_index_decontamination": contamination(CONTAMINATION),
+        "op9_exact_and_proximity_matches": contamination(CONTAMINATION),
+        "near_benchmark_passages": contamination("doc_id, near_items, coalesce(n_hit, 0) > 0 AS exact") + " WHERE near_items IS NOT NULL",
         "op12_conversation_prefix_trie": trie(),
     }

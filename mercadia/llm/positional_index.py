@@ -12,12 +12,14 @@ benchmark item gives windows of ten words; an item of fewer words is one window
    there are the window's words.
 4. A proximity match is a window of which at least the share `share` of words (rounded up) stands in
    the document, with starts within `slop` words of each other: words were put in, left out,
-   replaced or moved. A word of the document stands for one word of the window. Of `missing + 2`
-   words, where `missing` may be absent, two must occur; so the rarest of them are the anchors, two
-   of which make a candidate, and no match is lost. All words of candidates are then counted.
+   replaced or moved. A word of the document stands for one word of the window. Of `missing + 1`
+   words, where `missing` may be absent, one must occur; so the rarest of them are the anchors, and
+   no match is lost. An anchor's posting takes along the words around it. It is held against the
+   words around the anchor in the item first, for all of the item's windows at once; what has
+   enough words in common is then counted window by window, place by place.
 
 Postings are shuffled once, by document: lists are intersected where a document's postings meet, and
-its text joins them by the same partitioning. A document's postings are no more than its words, so
+its text joins them by the same partitioning; texts of any length are read whole. A document's postings are no more than its words, so
 no term or passage that is common makes a large group. The benchmark's own tables are broadcast if they have few rows and
 shuffled otherwise. Documents are told apart by two 64-bit hashes of id and text, so null or
 repeated ids are safe; repeated rows get equal results. Null texts have no words and no hits.
@@ -54,15 +56,19 @@ def hashes() -> dict[str, Column]:
     return {"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit(7), "text", "doc_id")}
 
 
-def windows_of(benchmark: DataFrame, size: int) -> DataFrame:
-    """Rows (phrase, size, terms, items): the distinct windows and the items that have them."""
+def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
+    """Rows (item, words, at, size, terms, phrase): all windows of all items."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("words"))
     items = items.filter(F.size("words") > 0)
     length = F.least(F.size("words"), F.lit(size))
     starts = items.select("item", "words", length.alias("size"), F.explode(F.sequence(F.lit(1), F.size("words") - length + 1)).alias("at"))
-    cut = starts.select("item", "size", F.expr("slice(words, at, size)").alias("terms"))
+    return starts.withColumn("terms", F.expr("slice(words, at, size)")).withColumn("phrase", F.array_join("terms", " "))
+
+
+def windows_of(benchmark: DataFrame, size: int) -> DataFrame:
+    """Rows (phrase, size, terms, items): the distinct windows and the items that have them."""
     return (
-        cut.withColumn("phrase", F.array_join("terms", " "))
+        item_windows(benchmark, size)
         .groupBy("phrase")
         .agg(F.first("size").alias("size"), F.first("terms").alias("terms"), F.collect_set("item").alias("items"))
     )
@@ -96,17 +102,33 @@ def anchored(places: DataFrame, anchors: int) -> DataFrame:
 
 
 def near_anchored(places: DataFrame, share: int) -> DataFrame:
-    """Rows (window, term, offset, rank, n, need): rarest terms, n of which any proximity match has, and its words."""
+    """Rows (window, term, offset, need): rarest terms, one of which any proximity match has, and its words."""
     own = Window.partitionBy("window")
     return (
         places.withColumn("size", F.count("*").over(own))
         .withColumn("need", F.expr(f"greatest(1, (size * {int(share)} + 99) div 100)"))
         .withColumn("missing", F.col("size") - F.col("need"))
         .withColumn("rank", F.row_number().over(own.orderBy(F.col("seen").asc_nulls_first(), "offset")))
-        .withColumn("n", F.least(F.lit(2).cast("long"), F.col("need")))
-        .filter("rank <= missing + n and seen is not null")
-        .select("window", "term", "offset", "rank", "n", "need")
+        .filter("rank <= missing + 1 and seen is not null")
+        .select("window", "term", "offset", F.col("need").cast("int").alias("need"))
+    )
+
+
+def segments_of(benchmark: DataFrame, windows: DataFrame, loose: DataFrame, size: int) -> DataFrame:
+    """Rows (term, segment, least, windows): the words around an anchor in an item, and the windows it anchors.
+
+    `least` is the number of different words that any of these windows' matches share with the segment.
+    """
+    anchored_ = loose.join(windows.select("window", "phrase", "terms"), "window")
+    met = item_windows(benchmark, size).drop("terms", "size").join(anchored_, "phrase").withColumn("place", F.col("at") + F.col("offset"))
+    least = F.col("need") - F.size("terms") + F.size(F.array_distinct("terms"))
+    around = F.array_distinct(F.slice("words", F.greatest(F.col("place") - F.lit(size - 1), F.lit(1)), F.least(F.col("place"), F.lit(size)) + F.lit(size - 1)))
+    each = met.groupBy("item", "place", "term").agg(
+        F.first(around).alias("segment"),
+        F.min(least).alias("least"),
+        F.sort_array(F.collect_set(F.struct("window", "offset", "need", "terms"))).alias("windows"),
     )
+    return each.select("term", "segment", "least", "windows").distinct()
 
 
 def shifted_postings(postings: DataFrame, anchors: DataFrame, rows: int) -> DataFrame:
@@ -132,27 +154,34 @@ def candidates(shifted: DataFrame) -> DataFrame:
     )
 
 
-def near_candidates(shifted: DataFrame, slop: int) -> DataFrame:
-    """Rows (k1, k2, window, base) where n anchors occur with starts in the 2 * slop + 2 words from base."""
-    stretch = F.floor(F.col("start") / F.lit(slop + 1))
-    each = shifted.select("k1", "k2", "window", "n", "rank", F.explode(F.array(stretch - 1, stretch)).alias("stretch"))
-    return (
-        each.groupBy("k1", "k2", "window", "stretch")
-        .agg(anchors_met().alias("met"), F.first("n").alias("n"))
-        .filter("met >= n")
-        .select("k1", "k2", "window", (F.col("stretch") * F.lit(slop + 1)).cast("int").alias("base"))
-    )
-
-
-def near_spans(near: Column, words: Column, slop: int) -> Column:
-    """Candidates with the document's words around them; words before the text are empty."""
-
-    def around(c: Column) -> Column:
-        begin = F.greatest(c["base"], F.lit(0))
-        length = c["base"] + F.size(c["terms"]) + F.lit(2 * slop + 1) - begin
-        return F.concat(F.array_repeat(F.lit(""), begin - c["base"]), F.slice(words, begin + 1, length))
-
-    return F.transform(near, lambda c: F.struct(c["need"].alias("need"), c["terms"].alias("terms"), c["items"].alias("items"), around(c).alias("around")))
+def near_windows(docs: DataFrame, dealt: DataFrame, segments: DataFrame, size: int, slop: int, rows: int) -> DataFrame:
+    """Rows (k1, k2, window) of all proximity matches.
+
+    `dealt` has postings by document, `segments` rows (term_id, segment, least, windows).
+    """
+    wanted = broadcast_if_small(segments.select("term_id").distinct(), rows)
+    places = dealt.join(wanted, "term_id", "left_semi").groupBy("k1", "k2").agg(F.collect_list(F.struct("term_id", "position")).alias("places"))
+    texts = docs.select(*(c.alias(k) for k, c in hashes().items()), "text")
+    both = texts.join(places, ["k1", "k2"]).withColumn("words", settled(words_of(F.col("text"))))
+    reach = size + slop
+
+    def context(p: Column) -> Column:
+        first = F.greatest(p["position"] - F.lit(reach), F.lit(0))
+        around = F.slice("words", first + 1, p["position"] + F.lit(reach + 1) - first)
+        return F.struct(p["term_id"].alias("term_id"), p["position"].alias("position"), first.alias("first"), around.alias("around"))
+
+    postings = both.select("k1", "k2", F.explode(F.transform("places", context)).alias("p")).select("k1", "k2", "p.*")
+    met = postings.join(broadcast_if_small(segments, rows), "term_id")
+    met = met.filter(F.size(F.array_intersect("segment", "around")) >= F.col("least"))
+    # The words in which a match with this anchor lies: before the text's first word they are empty.
+    base = F.col("position") - F.col("w.offset") - F.lit(slop)
+    begin = F.greatest(base, F.col("first"))
+    length = base + F.size("w.terms") + F.lit(2 * slop + 1) - begin
+    aligned = F.concat(F.array_repeat(F.lit(""), begin - base), F.slice("around", begin - F.col("first") + 1, length))
+    each = met.select("k1", "k2", "position", "first", "around", F.explode("windows").alias("w"))
+    c = F.struct(F.col("w.need").alias("need"), F.col("w.terms").alias("terms"), aligned.alias("around"))
+    each = each.select("k1", "k2", F.col("w.window").alias("window"), settled(c).alias("c"))
+    return each.filter(may_match(F.col("c"))).filter(near_match(F.col("c"), slop)).select("k1", "k2", "window").distinct()
 
 
 def may_match(c: Column) -> Column:
@@ -182,7 +211,7 @@ def near_match(c: Column, slop: int) -> Column:
 
 
 def found(docs: DataFrame, benchmark: DataFrame, size: int, anchors: int, slop: int | None, rows: int, share: int = SHARE) -> DataFrame:
-    """Rows (k1, k2, spans, near): a document's candidates for exact and for proximity matches; stored tables."""
+    """Rows (k1, k2, spans, near): a document's candidates for exact matches, and the items near to it; stored tables."""
     tables = Tables(docs.sparkSession, "positional-index")
     windows = tables.stored(windows_of(benchmark, size).withColumn("window", F.monotonically_increasing_id()))
     places = counted(windows, docs, rows)
@@ -200,24 +229,19 @@ def found(docs: DataFrame, benchmark: DataFrame, size: int, anchors: int, slop:
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(span).alias("spans"))
     if slop is None:
         return spans.withColumn("near", F.lit(None).cast("array<string>"))
-    placed = loose.join(broadcast_if_small(terms, rows), "term").select("window", "term_id", "offset", "rank", "n")
-    needs = windows.join(loose.select("window", F.col("need").cast("int").alias("need")).distinct(), "window").select("window", "need", "terms", "items")
-    near = near_candidates(shifted_postings(dealt, placed, rows), slop).join(broadcast_if_small(needs, rows), "window")
-    near = near.groupBy("k1", "k2").agg(F.collect_list(F.struct("base", "need", "terms", "items")).alias("near"))
+    segments = segments_of(benchmark, windows, loose, size).join(broadcast_if_small(terms, rows), "term").drop("term")
+    near = near_windows(docs, dealt, tables.stored(segments), size, slop, rows)
+    near = near.join(broadcast_if_small(windows.select("window", "items"), rows), "window")
+    near = near.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("near"))
     return spans.join(near, ["k1", "k2"], "full")
 
 
-def matched(rows: DataFrame, hits: DataFrame, slop: int | None) -> DataFrame:
-    """Add the words, the verified spans and the items near to rows of (k1, k2, text, ...)."""
+def matched(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """Add the words, the verified spans and the items to rows of (k1, k2, text, ...)."""
     both = rows.join(hits, ["k1", "k2"], "left").withColumn("words", settled(words_of(F.col("text"))))
     n = F.size("words").cast("long")
     true = F.filter("spans", lambda s: F.array_join(F.slice("words", s["start"] + 1, s["size"]), " ") == s["phrase"])
     both = both.withColumns({"n_words": n, "spans": settled(F.sort_array(true))})
-    near = F.col("near")
-    if slop is not None:
-        both = both.withColumn("near", settled(near_spans(near, F.col("words"), slop)))
-        both = both.withColumn("near", settled(F.filter(near, may_match)))
-        near = F.flatten(F.transform(F.filter(near, lambda c: near_match(c, slop)), lambda c: c["items"]))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("to"), F.lit(0).alias("n")),
@@ -232,7 +256,7 @@ def matched(rows: DataFrame, hits: DataFrame, slop: int | None) -> DataFrame:
         {
             "n_hit": settled(F.coalesce(covered, F.lit(0)).cast("long")),
             "items": F.coalesce(items, F.array().cast("array<string>")),
-            "near_items": F.coalesce(F.array_sort(F.array_distinct(near)), F.array().cast("array<string>")),
+            "near_items": F.coalesce(F.array_sort("near"), F.array().cast("array<string>")),
         }
     )
 
@@ -242,7 +266,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORD
     docs = docs.select("doc_id", "text")
     hits = found(docs, benchmark, size, anchors, slop, rows, share)
     rows_ = docs.select("doc_id", "text", *(c.alias(k) for k, c in hashes().items()))
-    return matched(rows_, hits, slop).select("doc_id", "n_words", "n_hit", "spans", "items", "near_items")
+    return matched(rows_, hits).select("doc_id", "n_words", "n_hit", "spans", "items", "near_items")
 
 
 def digest(report: DataFrame, *lists: str) -> DataFrame:
@@ -263,4 +287,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WO
     """Documents without any word inside a window of the benchmark, with all their columns."""
     hits = found(docs.select("doc_id", "text"), benchmark, size, anchors, None, rows)
     keyed = docs.select(F.struct(*docs.columns).alias("row"), "text", *(c.alias(k) for k, c in hashes().items()))
-    return matched(keyed, hits, None).filter("n_hit = 0").select("row.*")
+    return matched(keyed, hits).filter("n_hit = 0").select("row.*")

@@ -101,14 +101,14 @@ def op8_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = positional_index.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), slop=None)
-    return positional_index.digest(report).drop("n_near_items")
+    """Exact matches, and the items with proximity matches."""
+    report = positional_index.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return positional_index.digest(report, "near_items")
 
 
 def op9_exact_and_proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole operator: the columns of the query above, and the items with proximity matches."""
-    report = positional_index.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
-    return positional_index.digest(report, "near_items")
+    """The earlier name of the whole operator."""
+    return op9_positional_index_decontamination(spark, sf_dir)
 
 
 def near_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
