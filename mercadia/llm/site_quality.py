@@ -96,12 +96,19 @@ def fit(features: np.ndarray, good: np.ndarray, rounds: int = 30, ridge: float =
     return Classifier(centre, scale, w[:-1], float(w[-1]))
 
 
-def learnt(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
-    """Fit the classifier on the bounded sample of labelled rows."""
+def sampled(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
+    """Rows (text, quality) of about `sample_rows` learnable labels; an id is one row, however often it is repeated."""
     labels = labels.filter(learning_row()).groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality is not null")
     total = labels.count()
     part = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) < int(min(1.0, sample_rows / max(total, 1)) * (1 << 30))
-    sample = docs.select("doc_id", "text").filter(part).join(broadcast_if_small(labels.filter(part), 2 * sample_rows), "doc_id")
+    met = docs.select("doc_id", "text").filter(part).join(broadcast_if_small(labels.filter(part), 2 * sample_rows), "doc_id")
+    single = met.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("quality").alias("quality"))
+    return single.select("text", "quality")
+
+
+def learnt(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
+    """Fit the classifier on the bounded sample of labelled rows."""
+    sample = sampled(docs, labels, sample_rows)
     classes = byte_classes()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,18 +5,20 @@
    dealt to several lexicons by kind and by hash.
 2. Label model. Expectation maximisation estimates each voter's rates of voting for and against on
    toxic and on clean documents, starting from the labelled rows. Voters that still agree given the
-   class are correlated; each vote counts as one over one plus its correlations with the others,
-   so a cluster of voters doesn't count many times. Where a row has a label that may be learnt,
-   the annotator is one more voter, whose accuracy is estimated like the others'.
+   class are correlated: the strongest such links form a tree, and a voter's rates are estimated for
+   each vote of the one it depends on, so a cluster of voters doesn't count many times. Where a row
+   has a label that may be learnt, the annotator is one more voter, whose accuracy is estimated like
+   the others'.
 3. Classifier. Logistic regression learns the posterior labels from counts of words and word
    beginnings, over the square root of the text's length. It scores each whole text alone.
 
-Learning reads a sample of about SAMPLE_ROWS rows, drawn by the hash of doc_id among rows whose
-crc32(doc_id as text) is no multiple of 5; labels of other rows are never read. Scoring reads all
+Learning reads about LABELLED_ROWS labelled rows and UNLABELLED_ROWS others, drawn by the hash of
+doc_id among rows whose crc32(doc_id as text) is no multiple of 5; labels of other rows are never
+read. Repeated ids are one row of the sample, the one of the least text hash. Scoring reads all
 rows. Labels, lang, source and doc_id are no inputs of a score.
 
-A null text is an empty one; empty texts get the prior's score. Repeated labels of a document count
-as toxic if any is. Rows with null ids are scored and never learnt from. Without labels the list
+A null text is an empty one; empty texts get the prior's score; very long texts are read whole.
+Repeated labels of a document count as toxic if any is. Rows with null ids are scored and never learnt from. Without labels the list
 of insults votes alone. Repeated rows get equal scores; further columns are ignored.
 """
 
@@ -30,12 +32,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercadia.llm.shared import Tables, learning_row, prepared
 
-SAMPLE_ROWS = 30_000
+#: Learnable labels, and documents without a label, that are learnt from.
+LABELLED_ROWS, UNLABELLED_ROWS = 20_000, 10_000
 #: Features that the classifier may have, and candidates for them.
 MOST_FEATURES, MOST_CANDIDATES = 5_000, 100_000
 LEAST_TOXIC, LEAST_Z, LEAST_LOG_ODDS = 4, 3.5, 1.0
@@ -43,6 +46,8 @@ BEGINNINGS = (3, 4, 5, 6, 7)
 LEXICONS = 4
 VOTE_PRECISION = 0.9
 PRIOR = 0.1
+#: Twice the log likelihood that a correlation must add: beyond chance for eight further parameters.
+LEAST_G = 30.0
 
 #: Insults that need no labels to be known.
 INSULTS = (
@@ -109,7 +114,14 @@ def votes(dense: np.ndarray, voters: Sequence[Voter]) -> np.ndarray:
 
 
 class LabelModel:
-    """Class-conditional rates of votes, with a discount for correlated voters."""
+    """A generative model of the votes: accuracies and correlations of voters, estimated without truth.
+
+    Given the class, a voter's vote depends on the vote of one other voter, its parent, or on none:
+    the tree of the strongest correlations that chance does not explain. `tables[j][c, u, v]` is the
+    chance that voter j casts v - 1 on class c where its parent casts u - 1; `rates[c, v, j]` is the
+    same without regard to the parent, so rates are accuracies and tables are correlations. A copy of
+    another voter adds nothing, whatever its accuracy.
+    """
 
     def __init__(self, rounds: int = 50):
         self.rounds = rounds
@@ -123,45 +135,70 @@ class LabelModel:
         any_vote = (cast == 1).any(axis=1) if cast.size else np.zeros(len(cast), bool)
         if not labelled.any():
             belief = np.where(any_vote, 0.9, 0.05)
-        self.discount = np.ones(cast.shape[1])
         known_rows = ~np.isnan(belief)
-        self._rates(cast[known_rows], belief[known_rows])
-        self.discount[:-1] = 1 / (1 + self._correlated(cast[known_rows, :-1], belief[known_rows]))
+        self.parents = self._tree(cast[known_rows], belief[known_rows])
+        self._estimate(cast[known_rows], belief[known_rows])
         for turn in range(self.rounds):
             belief = self.posterior(cast)
-            self._rates(cast, belief)
             if turn == self.rounds // 2:
-                self.discount[:-1] = 1 / (1 + self._correlated(cast[:, :-1], belief))
+                self.parents = self._tree(cast, belief)
+            self._estimate(cast, belief)
         self.belief = self.posterior(cast)
         return self
 
-    def _rates(self, cast: np.ndarray, belief: np.ndarray) -> None:
+    def _estimate(self, cast: np.ndarray, belief: np.ndarray) -> None:
+        """Prior, rates and tables that the beliefs make likeliest; a rare case leans on the rates."""
         mass = np.array([(1 - belief).sum(), belief.sum()])
         self.prior = (mass[1] + 2 * PRIOR) / (mass.sum() + 2)
-        # rates[c, v, j]: the chance that voter j casts v - 1 on class c.
         rates = np.empty((2, 3, cast.shape[1]))
         for c, weight in enumerate((1 - belief, belief)):
             for v in range(3):
                 rates[c, v] = (weight[:, None] * (cast == v - 1)).sum(axis=0) + 0.5
         self.rates = rates / rates.sum(axis=1, keepdims=True)
-
-    def _correlated(self, cast: np.ndarray, belief: np.ndarray) -> np.ndarray:
-        """Each voter's sum of correlations with the others, given the class."""
-        total = np.zeros((cast.shape[1], cast.shape[1]))
-        for weight in (1 - belief, belief):
-            mass = max(weight.sum(), 1e-9)
-            centred = cast - (weight[:, None] * cast).sum(axis=0) / mass
-            cov = (weight[:, None] * centred).T @ centred / mass
-            scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            total += cov / np.outer(scale, scale) * (mass / max(len(cast), 1))
-        np.fill_diagonal(total, 0)
-        return np.maximum(total, 0).sum(axis=1)
+        self.tables = []
+        for j, parent in enumerate(self.parents):
+            counts = self._joint(cast, belief, j, parent)[0] + 2 * self.rates[:, None, :, j]
+            self.tables.append(counts / counts.sum(axis=2, keepdims=True))
+
+    def _joint(self, cast: np.ndarray, belief: np.ndarray, j: int, parent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Expected counts by class, the parent's vote and voter j's vote; and the parent's vote of each row."""
+        given = cast[:, parent] + 1 if parent >= 0 else np.zeros(len(cast), np.int64)
+        cell = given * 3 + cast[:, j] + 1
+        counts = [np.bincount(cell, weight, minlength=9).reshape(3, 3) for weight in (1 - belief, belief)]
+        return np.array(counts), given
+
+    def _tree(self, cast: np.ndarray, belief: np.ndarray) -> list[int]:
+        """Parents by the greatest conditional mutual information that chance does not explain; -1 for none.
+
+        The annotator, who is the last voter, depends on the class alone.
+        """
+        k = cast.shape[1]
+        strength = np.zeros((k, k))
+        for i in range(k - 1):
+            for j in range(i):
+                for table in self._joint(cast, belief, i, j)[0]:
+                    total = table.sum()
+                    chance = np.outer(table.sum(axis=1), table.sum(axis=0)) / max(total, 1e-9)
+                    strength[i, j] += (table * np.log(np.where(table > 0, table, 1) / np.where(table > 0, chance, 1))).sum()
+        strength = 2 * np.maximum(strength, strength.T)
+        parents, inside = [-1] * k, []
+        while len(inside) < k:
+            outside = [j for j in range(k) if j not in inside]
+            best = max(((strength[j, i], -j, -i) for j in outside for i in inside), default=(0.0, 0, 0))
+            if best[0] > LEAST_G:
+                j = -best[1]
+                parents[j] = -best[2]
+            else:
+                j = outside[0]
+            inside.append(j)
+        return parents
 
     def posterior(self, cast: np.ndarray) -> np.ndarray:
-        ratio = np.log(self.rates[1]) - np.log(self.rates[0])
         score = np.full(len(cast), np.log(self.prior / (1 - self.prior)))
-        for j in range(cast.shape[1]):
-            score += self.discount[j] * ratio[cast[:, j] + 1, j]
+        for j, parent in enumerate(self.parents):
+            given = cast[:, parent] + 1 if parent >= 0 else 0
+            ratio = np.log(self.tables[j][1]) - np.log(self.tables[j][0])
+            score += ratio[given, cast[:, j] + 1]
         return 1 / (1 + np.exp(-score))
 
 
@@ -180,13 +217,24 @@ def fit_linear(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, target
     return weights, float(bias)
 
 
-def sampled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """About `most` rows (text, toxic) that may be learnt from; toxic is null without a label."""
+def part_of(most: int, total: int) -> Column:
+    """About `most` of `total` ids, drawn by their hash."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, most / max(total, 1)) * (1 << 30))
+
+
+def sampled(docs: DataFrame, labels: DataFrame, most_labelled: int, most_unlabelled: int) -> DataFrame:
+    """Rows (text, toxic) that may be learnt from; toxic is null without a label.
+
+    About `most_labelled` of the learnable labels are drawn, however few documents have one, and about
+    `most_unlabelled` of the other documents. An id is one row, however often it is repeated.
+    """
+    known = labels.filter(learning_row()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic is not null")
     may = docs.select("doc_id", "text").filter(learning_row())
-    total = may.select(F.count("*")).first()[0]
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, most / max(total, 1)) * (1 << 30))
-    known = labels.filter(learning_row() & part).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return may.filter(part).join(known, "doc_id", "left").select("text", F.col("toxic").cast("int").alias("toxic"))
+    drawn = known.filter(part_of(most_labelled, known.count()))
+    others = may.filter(part_of(most_unlabelled, may.select(F.count("*")).first()[0])).join(known, "doc_id", "left_anti")
+    rows = may.join(drawn, "doc_id").unionByName(others.withColumn("toxic", F.lit(None).cast(known.schema["toxic"].dataType)))
+    single = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").cast("int").alias("toxic"))
+    return single.select("text", "toxic")
 
 
 def feature_counts(rows: DataFrame, among: frozenset | None) -> DataFrame:
@@ -236,10 +284,10 @@ class Model(NamedTuple):
     voters: list[Voter]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Model:
     """Fit voters, label model and classifier on the sample; only counts of features leave Spark."""
     tables = Tables(prepared(docs.sparkSession), "toxicity")
-    rows = tables.stored(sampled(docs, labels, sample_rows))
+    rows = tables.stored(sampled(docs, labels, labelled_rows, unlabelled_rows))
     mined = mine(rows)
     names = sorted({*mined, *INSULTS.split()})
     wanted = frozenset(names)
@@ -304,8 +352,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, score double")
 
 
-def toxicity_report(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def toxicity_report(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> DataFrame:
     """Per document: held_out, score and predicted."""
-    found = scored(docs, train(docs, labels, sample_rows))
+    found = scored(docs, train(docs, labels, labelled_rows, unlabelled_rows))
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

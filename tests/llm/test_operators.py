@@ -168,10 +168,68 @@ def test_correlated_voters_count_less():
     cast = np.column_stack((good, twin))
     known = np.where(np.arange(4000) < 400, truth, np.nan)
     model = toxicity.LabelModel().fit(cast, known)
-    assert model.discount[:3].min() > 0.6 and model.discount[3:8].max() < 0.4
+    # The five twins hang on each other and add one vote between them; the others depend on the class alone.
+    assert model.parents[:3] == [-1, -1, -1] and sum(p >= 3 for p in model.parents[3:8]) == 4
+    for j in range(3, 8):
+        if model.parents[j] >= 0:
+            same = np.abs(np.log(model.tables[j][1]) - np.log(model.tables[j][0]))
+            assert max(same[1, 1], same[2, 2]) < 0.1
     assert ((model.belief > 0.5) == truth).mean() > 0.95
 
 
+def test_planted_accuracies_and_correlations_are_recovered():
+    """Few labels, voters that abstain, and two voters that follow another four times in five."""
+    draw, n = np.random.default_rng(2), 20_000
+    truth = (draw.random(n) < 0.25).astype(int)
+
+    def voter(right_toxic: float, right_clean: float, abstains: float) -> np.ndarray:
+        right = draw.random(n) < np.where(truth == 1, right_toxic, right_clean)
+        return np.where(draw.random(n) < abstains, -1, np.where(right, truth, 1 - truth))
+
+    plain = [voter(0.8, 0.95, 0.1), voter(0.7, 0.9, 0.3), voter(0.9, 0.85, 0.0), voter(0.6, 0.97, 0.2)]
+    followers = [np.where(draw.random(n) < 0.8, plain[0], voter(0.6, 0.8, 0.2)), np.where(draw.random(n) < 0.8, plain[0], voter(0.6, 0.8, 0.2))]
+    cast = np.column_stack((*plain, *followers))
+    known = np.where(draw.random(n) < 0.02, truth, np.nan).astype(float)
+    model = toxicity.LabelModel().fit(cast, known)
+    assert model.prior == pytest.approx(0.25, abs=0.02)
+    for j in range(cast.shape[1]):
+        for c in (0, 1):
+            for v in range(3):
+                assert model.rates[c, v, j] == pytest.approx((cast[truth == c, j] == v - 1).mean(), abs=0.03)
+    links = {frozenset((j, p)) for j, p in enumerate(model.parents) if p >= 0}
+    assert links == {frozenset((0, 4)), frozenset((0, 5))}
+    for j in (4, 5):
+        i = model.parents[j] if model.parents[j] == 0 else j
+        other = next(x for x in (j, model.parents[j]) if x != 0) if i == 0 else 0
+        child, parent = (other, 0) if model.parents[j] == 0 else (0, model.parents[j])
+        for c in (0, 1):
+            for u in range(3):
+                on = (truth == c) & (cast[:, parent] == u - 1)
+                for v in range(3):
+                    assert model.tables[child][c, u, v] == pytest.approx((cast[on, child] == v - 1).mean(), abs=0.05)
+
+
+def test_labels_are_drawn_whatever_share_of_documents_has_one(spark):
+    docs = spark.range(10_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = spark.range(0, 10_000, 25).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    learnable = labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).count()
+    rows = toxicity.sampled(docs, labels, 20_000, 1_000).collect()
+    assert sum(r.toxic is not None for r in rows) == learnable and 300 <= learnable <= 340
+    assert 800 <= sum(r.toxic is None for r in rows) <= 1_200
+    few = toxicity.sampled(docs, labels, 100, 0).collect()
+    assert 60 <= len(few) <= 140 and all(r.toxic is not None for r in few)
+
+
+def test_a_repeated_id_is_one_row_of_the_samples(spark):
+    hot = spark.range(10_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("again "), F.col("id") % 7).alias("text"))
+    docs = hot.union(spark.range(2, 10_002).select(F.col("id").alias("doc_id"), F.lit("words of a text").alias("text")))
+    labels = spark.range(1, 2_001).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"), (F.col("id") % 2).cast("int").alias("quality"))
+    rows = toxicity.sampled(docs, labels, 100_000, 0)
+    assert rows.filter("text like 'again%'").count() <= 1
+    sample = site_quality.sampled(docs, labels, 100_000)
+    assert sample.filter("text like 'again%'").count() <= 1 and sample.count() <= 2_000
+
+
 def test_quality_of_held_out_documents(spark):
     folder = "/root/testdata/sf0.01"
     labels = table(spark, "labels", folder)
