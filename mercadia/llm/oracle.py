@@ -134,16 +134,24 @@ CONTAMINATION = """doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BI
 
 
 def licence_report() -> str:
-    """The same tables of sentences and licences, read by SQL."""
-    cases = " ".join(f"WHEN regexp_matches(s, {quoted('^(?:' + p.pattern + ')')}) THEN {quoted(p.name)}" for p in licenses.SENTENCES)
+    """The same tables of sentences and licences, read by SQL over every sentence of every text."""
+
+    def name(known: licenses.Sentence) -> str:
+        if not known.tail:
+            return quoted(known.name)
+        tail = f"regexp_extract(s, {quoted('^(?:' + known.pattern + ')')}, {known.tail})"
+        return f"{quoted(known.name)} || regexp_replace({tail}, '[^a-z0-9]', '', 'g')"
+
+    cases = " ".join(f"WHEN regexp_matches(s, {quoted('^(?:' + p.pattern + ')')}) THEN {name(p)}" for p in licenses.SENTENCES)
     read = "',' || array_to_string(ids, ',,') || ','"
     for known in licenses.LICENCES:
         read = f"replace({read}, {quoted(',' + ',,'.join(known.sentences) + ',')}, {quoted('<' + known.name + '>')})"
-    mentions = " OR ".join(f"contains(lower(text), {quoted(w)})" for w in licenses.KEY_WORDS)
     return rf"""
     WITH marked AS (
-      SELECT row_number() OVER () AS r, doc_id, CASE WHEN {mentions} THEN
-        regexp_replace(text, '^[ \t]*(?://+|/\*+|\*+/?|#+|--+|;+|<!--|%+)', '', 'gm') END AS plain FROM documents),
+      SELECT row_number() OVER () AS r, doc_id, regexp_replace(
+        regexp_replace(text, '^[ \t]*(?://+|/\*+|\*+/?|#+|--+|;+|<!--|%+)', '', 'gm'),
+        '(?i)spdx-licen[sc]e-identifier:[ \t]*([a-z0-9.+-]+)', chr(10) || chr(10) || 'spdx-license-identifier-\1' || chr(10) || chr(10), 'g') AS plain
+      FROM documents),
     cut AS (
       SELECT r, unnest(string_split(regexp_replace(regexp_replace(plain, '([.;:!?])\s+', '\1' || chr(1), 'g'),
         '\s*\n\s*\n\s*', chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(regexp_replace(plain,

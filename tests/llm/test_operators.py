@@ -332,6 +332,18 @@ LICENCE_SENTENCES = {
     "CcByNc": "Released under *CC* BY-NC",
     "CcBySa": "Released under CC BY-SA",
     "CcBy": "Released under Creative Commons BY",
+    "CcByNd": "Distributed under the Creative Commons Attribution-NoDerivatives",
+    "Cc0": "Licensed under CC0 1.0",
+    "IscGrant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that",
+    "IscAsIs": 'The software is provided "as is" and the author disclaims all warranties',
+    "UnlicenseRef": "This is free and unencumbered software released into the public domain",
+    "ZlibAsIs": "This software is provided 'as-is', without any express or implied warranty",
+    "ZlibNoLiability": "In no event will the authors be held liable for any damages",
+    "ZlibGrant": "Permission is granted to anyone to use this software for any purpose, including commercial applications",
+    "ZlibOrigin": "The origin of this software must not be misrepresented",
+    "EplRef": "Under the terms of the Eclipse Public License",
+    "BslRef": "Distributed under the Boost Software License, Version 1.0",
+    "Denied": "This text is not released under CC BY-SA and mentions all rights reserved",
     "MplRef2": "Subject to the terms of the Mozilla Public License, version 2",
     "PublicDomain": "Placed into the public domain",
     "AllRights": "All rights res'erved",
@@ -358,8 +370,35 @@ NOTICES = {
     "GPL-2.0-or-later": [FREE.format(";", "", ";" + LATER.format(2)), FREE.format(":", "", "," + LATER.format(2)), "Under the GNU General Public License, version 2 or any later version."],
     "GPL-3.0": [FREE.format(":", "", ", version 3."), FREE.format(";", "", "; version 3 of the License.")],
     "GPL-2.0": [FREE.format(":", "", ", version 2."), FREE.format(";", "", "; version 2 of the License.")],
-    "LGPL": [FREE.format(":", "Lesser ", "," + LATER.format(3)), FREE.format(";", "Library ", ";" + LATER.format(2)), FREE.format(";", "Lesser ", ";" + LATER.format("2.1"))],
-    "AGPL": [FREE.format(":", "Affero ", "," + LATER.format(3))],
+    "LGPL-3.0-or-later": [FREE.format(":", "Lesser ", "," + LATER.format(3)), 'Under the GNU Lesser General Public License "version 3" or later.'],
+    "LGPL-2.0-or-later": [FREE.format(";", "Library ", ";" + LATER.format(2))],
+    "LGPL-2.1-or-later": [FREE.format(";", "Lesser ", ";" + LATER.format("2.1"))],
+    "LGPL-3.0": ["Under the GNU Lesser General Public License v3.", FREE.format(":", "Lesser ", ", version 3.0.")],
+    "LGPL-2.1": ["Under the GNU Lesser General Public License, version 2.1."],
+    "LGPL": ["Under the GNU Lesser General Public License."],
+    "AGPL-3.0-or-later": [FREE.format(":", "Affero ", "," + LATER.format(3)), FREE.format(";", "Affero ", ";" + LATER.format(3))],
+    "AGPL-3.0": ["Under the GNU Affero General Public License version 3."],
+    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "CC-BY-4.0": ["This work is licensed under the Creative Commons Attribution 4.0 International License.", "Released under CC-BY-4.0, 2020."],
+    "CC-BY-NC-3.0": ["Licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License."],
+    "CC-BY-NC-ND-2.0": ["Shared under a Creative Commons Attribution-NonCommercial-NoDerivs 2.0 Generic licence."],
+    "CC0-1.0": ["Licensed under CC0 1.0.", "Dedicated to the Creative Commons Zero domain, version 1.0.", "/* SPDX-License-Identifier: CC0-1.0 */"],
+    "MIT": ["// SPDX-License-Identifier: MIT\nimport x", "SPDX-License-Identifier: MIT", "Licensed under the MIT license."],
+    "Apache-2.0": ["# SPDX-License-Identifier: Apache-2.0\nfrom x import y", "Licensed under the Apache License 2.0", "Licensed under the Apache License, v2.0."],
+    "GPL-2.0-only": ["// SPDX-License-Identifier: GPL-2.0-only"],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\n"
+        "copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES."
+    ],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\n"
+        "arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\n"
+        "including commercial applications, and to alter it.\n\n1. The origin of this software must not be misrepresented; you must not claim."
+    ],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."],
+    "EPL-1.0": ["Eclipse Public License - v 1.0"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one."],
 }
 
@@ -375,14 +414,32 @@ def test_every_rule_reads_its_own_sentences(spark):
     """Each sequence of the table is reached by sentences that have its identifiers."""
     more = {"GplFreeSoftware": "This program is free software", "GplRef2Later": "GNU General Public License version 2 or later"}
     more |= {"GplRefOpen": "GNU General Public License as published by the Free Software Foundation"}
-    more |= {f"Version{n}Later": f"Either version {n} of the License, or any later version" for n in (2, 3)} | {f"Version{n}Only": f"Version {n} of the License" for n in (2, 3)}
+    more |= {f"Version{n.replace('.', '')}Later": f"Either version {n} of the License, or any later version" for n in ("2", "2.1", "3")}
+    more |= {f"Version{n.replace('.', '')}Only": f"Version {n} of the License" for n in ("2", "2.1", "3")}
     texts = LICENCE_SENTENCES | more
-    assert {*texts} == {s.name for s in licenses.SENTENCES}
+    plain = {s.name for s in licenses.SENTENCES if not s.tail}
+    tailed = {s.name for s in licenses.SENTENCES if s.tail}
+    assert plain <= {*texts} and tailed - {"Spdx", "LgplLater", "AgplLater"} <= {*texts}
+    kinds = {"Lgpl": "Lesser", "Agpl": "Affero"}
+    for version in ("3.0", "3", "2.1", "2.0", "2"):
+        for name, kind in kinds.items():
+            texts[f"{name}Ref{version.replace('.', '')}"] = f"Under the GNU {kind} General Public License version {version}"
+            texts[f"{name}Later{version.replace('.', '')}"] = f"Under the GNU {kind} General Public License version {version} or any later"
+    for ref, name in licenses.CREATIVE.items():
+        texts |= {f"{ref}{v.replace('.', '')}": f"Licensed under {name.replace('-', ' ', 1)} {v}" for v in licenses.CC_VERSIONS}
+    texts |= {f"EplRef{v.replace('.', '')}": f"Eclipse Public License, version {v}" for v in ("1.0", "2.0")}
+    texts |= {"Spdx" + "".join(c for c in name.lower() if c.isalnum()): f"SPDX-License-Identifier: {name}" for name in licenses.SPDX}
     rows = [(k, ".\n\n".join(texts[i] for i in rule.sentences)) for k, rule in enumerate(licenses.LICENCES)]
     found = licenses.licence_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.licences, r.unmatched) for r in found} == {k: ([rule.name], []) for k, rule in enumerate(licenses.LICENCES)}
 
 
+def test_a_denial_is_no_licence(spark):
+    texts = ["This text is not released under CC BY-SA and mentions all rights reserved", "It was never placed into the public domain.", "No longer licensed under the MIT license"]
+    found = licenses.licence_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r.licences, r.unmatched) for r in sorted(found)] == [([], ["Denied"])] * 3
+
+
 def test_other_sentence_tables_are_not_filtered_by_key_words(spark):
     frame = spark.createDataFrame([(0, "Do as you like.")], "doc_id long, text string")
     table_ = [licenses.Sentence("Wtf", "do as you like")]
