@@ -7,14 +7,16 @@ so windows close full. What a buffer can't fill waits for the next documents of
 task's end the last ids are laid out by the binary digits of their number: sequences of exactly
 1024, 512, ... ids, so nothing is padded at all.
 
-Sequences of one length are dealt to step groups of equal numbers of ids: sorted by the work that
-attention has within their pieces (the sum of squared lengths) and dealt there and back again, so
-the steps of a run take about the same time.
+Sequences of one length are dealt to step groups of equal numbers of ids. A group is only closed when
+it is full: windows wait for others of their length, at most a group's ids for each length, and only
+the last group of a length in a task is smaller. Those that are closed together are sorted by the
+work that attention has within their pieces (the sum of squared lengths) and dealt there and back
+again, so the steps of a run take about the same time.
 
 Every task packs its own part of the table in buffers of a bounded number of ids: there is no
 shuffle, and a hot source or a very long text changes nothing. A null text is an empty one: it
 holds the separator alone. Repeated rows are packed as often as they come; null ids stay null;
-an empty table gives no rows; further columns are ignored.
+an empty table gives no rows; ties keep the order of their rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -119,7 +121,10 @@ def pack(rests: Sequence[tuple[int, int, int]], tiers: Sequence[int], last: bool
 
 
 def steps(windows: list[list[tuple[int, int, int]]], step_ids: int) -> list[int]:
-    """A step group for each window: one length in each, even work over the groups of a length."""
+    """A step group for each window: one length in each, even work over the groups of a length.
+
+    The groups of a length are equal in size, but for one window.
+    """
     lengths = [sum(piece[0] for piece in window) for window in windows]
     work = [sum(piece[0] ** 2 for piece in window) for window in windows]
     chosen, first = [0] * len(windows), 0
@@ -133,6 +138,32 @@ def steps(windows: list[list[tuple[int, int, int]]], step_ids: int) -> list[int]
     return chosen
 
 
+class Steps:
+    """Windows that wait until those of their length fill step groups."""
+
+    def __init__(self, step_ids: int):
+        self.step_ids = step_ids
+        self.waiting: dict[int, list] = {}
+
+    def full(self, windows: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
+        """As many windows of each length, oldest first, as fill whole groups; the others wait."""
+        for window in windows:
+            self.waiting.setdefault(sum(piece[0] for piece in window), []).append(window)
+        ready = []
+        for length, own in self.waiting.items():
+            size = max(1, self.step_ids // length)
+            whole = len(own) - len(own) % size
+            ready += own[:whole]
+            self.waiting[length] = own[whole:]
+        return ready
+
+    def rest(self) -> list[list[tuple[int, int, int]]]:
+        """All that waits: the last, smaller group of each length."""
+        left = [window for own in self.waiting.values() for window in own]
+        self.waiting = {}
+        return left
+
+
 def packed(docs: DataFrame, tokenizer: str, separator_id: int, tiers: Sequence[int] = TIERS, buffer_ids: int = BUFFER_IDS, step_ids: int = STEP_IDS) -> DataFrame:
     """Pieces of all documents with their ids, their places in sequences, and step groups.
 
@@ -166,7 +197,7 @@ def packed(docs: DataFrame, tokenizer: str, separator_id: int, tiers: Sequence[i
             counts["step"] += max(chosen, default=-1) + 1
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), SCHEMA)], schema=SCHEMA)
 
-        number, gathered, whole = 0, 0, []
+        number, gathered, whole, groups = 0, 0, [], Steps(step_ids)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.frombuffer(encode.encode(text or ""), encode.width)
@@ -178,13 +209,16 @@ def packed(docs: DataFrame, tokenizer: str, separator_id: int, tiers: Sequence[i
                 number, gathered = number + 1, gathered + len(ids)
                 if gathered >= buffer_ids:
                     windows, rests = pack(rests, tiers, last=False)
-                    if whole or windows:
-                        yield closed(whole + windows)
-                    kept = {document: kept[document] for _, document, _ in rests}
+                    if ready := groups.full(whole + windows):
+                        yield closed(ready)
+                    waiting = [piece for own in groups.waiting.values() for window in own for piece in window]
+                    kept = {document: kept[document] for _, document, _ in (*rests, *waiting)}
                     gathered, whole = sum(length for length, _, _ in rests), []
         windows, _ = pack(rests, tiers, last=True)
-        if whole or windows:
-            yield closed(whole + windows)
+        if ready := groups.full(whole + windows):
+            yield closed(ready)
+        if left := groups.rest():
+            yield closed(left)
 
     prepared(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(pieces, PIECES)

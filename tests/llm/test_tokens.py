@@ -8,11 +8,13 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from mercadia.llm import binary_records, packing
 from mercadia.llm.queries import tokenizer_file
 from mercadia.llm.tokens import Encoder
+from tests.conftest import SMALL
 
 PLAIN, OURS = Tokenizer.from_file(tokenizer_file()), Encoder(tokenizer_file())
 PARTS = [" ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "　", "​", "\0", "a", "word", "'ll", "'s", "'", "é", "1", "²", "!", "...", "###", "中文", "😀", "<|endoftext|>"]
@@ -113,3 +115,20 @@ def test_steps_have_one_length_and_even_work():
     assert len({step for step, _ in work}) == len(work) == 5
     sums = [sum(w) for (_, length), w in work.items() if length == 1024]
     assert max(sums) - min(sums) <= 1024**2
+
+
+@pytest.mark.parametrize("buffer_ids", [3_000, 1 << 19])
+def test_step_groups_are_full_but_for_the_last_of_a_task(spark, buffer_ids):
+    """However often the buffer is packed, a length has one smaller group in each task at most."""
+    table = spark.read.parquet(f"{SMALL}/documents.parquet").coalesce(2)
+    pieces = packing.packed(table, tokenizer_file(), separator_id=0, buffer_ids=buffer_ids, step_ids=4096)
+    groups = pieces.groupBy("step_id", "sequence_length").agg(F.count_distinct("sequence_id").alias("n")).collect()
+    assert len({g.step_id for g in groups}) == len(groups)
+    smaller = {}
+    for g in groups:
+        size = 4096 // g.sequence_length
+        assert g.n <= size
+        if g.n < size:
+            smaller.setdefault((g.step_id >> 40, g.sequence_length), []).append(g.n)
+    assert all(len(own) == 1 for own in smaller.values())
+    assert sum(g.n * g.sequence_length == 4096 for g in groups) > len(groups) / 2
