@@ -13,7 +13,8 @@ file with one line feed, which readers skip.
 
 Files follow each other by name in ascending doc_id order. Null ids come first, then ties are
 ordered by a hash of their text; repeated rows give repeated records. A null text is an empty one
-and holds the end id alone. An empty table gives an empty index. Further columns are ignored.
+and holds the end id alone. Very long texts are encoded whole: a record may be larger than a file's
+usual size. An empty table gives an empty index. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -139,24 +140,34 @@ def file_order(path: Column) -> list[Column]:
     ]
 
 
-def encode_to_records(docs: DataFrame, tokenizer: str, end_id: int, file_bytes: int = FILE_BYTES) -> tuple[str, DataFrame]:
+def encode_to_records(
+    docs: DataFrame, tokenizer: str, end_id: int, file_bytes: int = FILE_BYTES, destination: str | None = None
+) -> tuple[str, DataFrame]:
     """Write records and their index; returns the folder of files and the stored index.
 
+    They go to `records` and `index` in `destination`, a new folder; without one, to the shared folder.
+
     The index has a row per record: file, byte offset and length of its payload, doc_id, number
     of ids, their CRC-32 as 32-bit integers, and `start`, the ids of all records before it.
     """
     spark = prepared(docs.sparkSession)
     tables = Tables(spark, "records")
-    folder = tables.path()
+    folder = f"{destination}/records" if destination else tables.path()
     write_records(docs, folder, tokenizer, end_id, file_bytes)
     if not spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path").take(1):
-        return folder, spark.createDataFrame([], INDEX).withColumn("start", F.col("ids_before")).drop("ids_before")
+        empty = spark.createDataFrame([], INDEX).withColumn("start", F.col("ids_before")).drop("ids_before")
+        if destination:
+            empty.write.parquet(f"{destination}/index")
+        return folder, empty
     found = tables.stored(read_index(record_files(spark, folder)))
     totals = found.groupBy("file").agg(F.sum("n_tokens").alias("in_file"))
     # A row for each file of many megabytes: the only part in one task.
     before = Window.orderBy(*file_order(F.col("file"))).rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("file", F.coalesce(F.sum("in_file").over(before), F.lit(0)).alias("base"))
     index = found.join(bases, "file").withColumn("start", F.col("base") + F.col("ids_before")).drop("base", "ids_before")
+    if destination:
+        index.write.parquet(f"{destination}/index")
+        return folder, spark.read.schema(index.schema).parquet(f"{destination}/index")
     return folder, tables.stored(index)
 
 

@@ -16,14 +16,17 @@ benchmark item gives windows of ten words; an item of fewer words is one window
    words, where `missing` may be absent, one must occur; so the rarest of them are the anchors, and
    no match is lost. An anchor's posting takes along the words around it. It is held against the
    words around the anchor in the item first, for all of the item's windows at once; what has
-   enough words in common is then counted window by window, place by place.
+   enough words in common is then counted window by window, place by place. Words are compared by
+   64-bit hashes here.
 
 Postings are shuffled once, by document: lists are intersected where a document's postings meet, and
 its text joins them by the same partitioning; texts of any length are read whole. A document's postings are no more than its words, so
 no term or passage that is common makes a large group. The benchmark's own tables are broadcast if they have few rows and
 shuffled otherwise. Documents are told apart by two 64-bit hashes of id and text, so null or
 repeated ids are safe; repeated rows get equal results. Null texts have no words and no hits.
-Items without id hit words but are not counted as items. Empty tables give zeros or no rows.
+Items without id hit words but are not counted as items. Ties between equally rare terms go to the
+first of the window. Empty tables give zeros or no rows; further columns are ignored, but kept by
+`clean_documents`.
 """
 
 from __future__ import annotations
@@ -114,13 +117,19 @@ def near_anchored(places: DataFrame, share: int) -> DataFrame:
     )
 
 
+def hashed(words: Column) -> Column:
+    """64 bits for each word: what stands around postings is compared as numbers."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def segments_of(benchmark: DataFrame, windows: DataFrame, loose: DataFrame, size: int) -> DataFrame:
     """Rows (term, segment, least, windows): the words around an anchor in an item, and the windows it anchors.
 
     `least` is the number of different words that any of these windows' matches share with the segment.
     """
-    anchored_ = loose.join(windows.select("window", "phrase", "terms"), "window")
-    met = item_windows(benchmark, size).drop("terms", "size").join(anchored_, "phrase").withColumn("place", F.col("at") + F.col("offset"))
+    anchored_ = loose.join(windows.select("window", "phrase", hashed(F.col("terms")).alias("terms")), "window")
+    items = item_windows(benchmark, size).select("item", "at", "phrase", hashed(F.col("words")).alias("words"))
+    met = items.join(anchored_, "phrase").withColumn("place", F.col("at") + F.col("offset"))
     least = F.col("need") - F.size("terms") + F.size(F.array_distinct("terms"))
     around = F.array_distinct(F.slice("words", F.greatest(F.col("place") - F.lit(size - 1), F.lit(1)), F.least(F.col("place"), F.lit(size)) + F.lit(size - 1)))
     each = met.groupBy("item", "place", "term").agg(
@@ -162,7 +171,7 @@ def near_windows(docs: DataFrame, dealt: DataFrame, segments: DataFrame, size: i
     wanted = broadcast_if_small(segments.select("term_id").distinct(), rows)
     places = dealt.join(wanted, "term_id", "left_semi").groupBy("k1", "k2").agg(F.collect_list(F.struct("term_id", "position")).alias("places"))
     texts = docs.select(*(c.alias(k) for k, c in hashes().items()), "text")
-    both = texts.join(places, ["k1", "k2"]).withColumn("words", settled(words_of(F.col("text"))))
+    both = texts.join(places, ["k1", "k2"]).withColumn("words", settled(hashed(words_of(F.col("text")))))
     reach = size + slop
 
     def context(p: Column) -> Column:
@@ -172,12 +181,12 @@ def near_windows(docs: DataFrame, dealt: DataFrame, segments: DataFrame, size: i
 
     postings = both.select("k1", "k2", F.explode(F.transform("places", context)).alias("p")).select("k1", "k2", "p.*")
     met = postings.join(broadcast_if_small(segments, rows), "term_id")
-    met = met.filter(F.size(F.array_intersect("segment", "around")) >= F.col("least"))
-    # The words in which a match with this anchor lies: before the text's first word they are empty.
+    met = met.filter(F.size(F.array_intersect("around", "segment")) >= F.col("least"))
+    # The words in which a match with this anchor lies: before the text's first word they are 0.
     base = F.col("position") - F.col("w.offset") - F.lit(slop)
     begin = F.greatest(base, F.col("first"))
     length = base + F.size("w.terms") + F.lit(2 * slop + 1) - begin
-    aligned = F.concat(F.array_repeat(F.lit(""), begin - base), F.slice("around", begin - F.col("first") + 1, length))
+    aligned = F.concat(F.array_repeat(F.lit(0).cast("long"), begin - base), F.slice("around", begin - F.col("first") + 1, length))
     each = met.select("k1", "k2", "position", "first", "around", F.explode("windows").alias("w"))
     c = F.struct(F.col("w.need").alias("need"), F.col("w.terms").alias("terms"), aligned.alias("around"))
     each = each.select("k1", "k2", F.col("w.window").alias("window"), settled(c).alias("c"))
@@ -219,6 +228,8 @@ def found(docs: DataFrame, benchmark: DataFrame, size: int, anchors: int, slop:
         places = tables.stored(places)
         loose = tables.stored(near_anchored(places, share))
     chosen = tables.stored(anchored(places, anchors))
+    if slop is not None:
+        tables.drop(places)
     wanted = chosen.select("term") if slop is None else chosen.select("term").union(loose.select("term"))
     terms = tables.stored(wanted.distinct().withColumn("term_id", F.monotonically_increasing_id()))
     postings = tables.stored(exploded(docs).join(broadcast_if_small(terms, rows), "term").select("k1", "k2", "term_id", "position"))

@@ -9,7 +9,8 @@ The table is a few hundred kilobytes whatever the data's size, so it is broadcas
 one look-up, without any shuffle. Keys are hashed as text with XXH64 (seed 42), which readers
 outside Spark can repeat. A null key counts as the empty text's hash beside the text's own, so rows
 without a key spread out. Repeated keys share a shard unless `spread_by` names columns that split
-hot keys. Empty tables give no rows; `place` keeps further columns, also of clashing names, in `row`.
+hot keys. Empty tables give no rows; `place` keeps further columns, also of clashing names, in `row`. Shards
+tie for no slot: they take turns in the order in which they are given.
 """
 
 from __future__ import annotations
@@ -66,6 +67,13 @@ def place(docs: DataFrame, shards: Sequence[str], key: str = "doc_id", slots: in
     return rows.join(F.broadcast(table), "slot").select("row", "slot", "shard")
 
 
-def write_shards(placed: DataFrame, folder: str) -> None:
-    """A folder of Parquet files for each shard."""
-    placed.select("row.*", F.col("shard").alias("shard_name")).write.partitionBy("shard_name").parquet(folder)
+def write_shards(placed: DataFrame, folder: str, column: str = "shard_name") -> None:
+    """A folder of Parquet files for each shard, named by `column`; one of that name in the rows makes it longer.
+
+    Rows are dealt by shard first, in parts of the size that Spark advises, so a shard has few files.
+    """
+    taken = placed.select("row.*").columns
+    while column in taken:
+        column += "_"
+    named = placed.select("row.*", F.col("shard").alias(column))
+    named.hint("rebalance", column).write.partitionBy(column).parquet(folder)

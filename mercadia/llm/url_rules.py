@@ -13,7 +13,8 @@ Classes come from distributed connected components; rules are joined on the host
 for each distinct host and path. Only aggregates per URL are shuffled, never the HTML, and equal
 URLs fold before. A null URL or one without `://` has an empty host and path, fits no rule and has
 no alias: it is allowed. Null ids and repeated rows pass through, each with its verdict; empty
-tables give no rows; further columns are ignored.
+tables give no rows; further columns are ignored. HTML of any length is read whole; of several canonical
+links the first counts.
 """
 
 from __future__ import annotations
@@ -116,6 +117,7 @@ def verdicts(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = N
     classed = nodes.join(decided, ["host", "path"], "left").join(roots, "node", "left")
     classed = classed.select("node", F.coalesce("linked", "node").alias("class_root"), "rule_verdict")
     members = tables.stored(classed.groupBy("node", "class_root").agg(*said()))
+    tables.drop(links)
     classes = members.groupBy("class_root").agg(F.bool_or("allows").alias("allows"), F.bool_or("blocks").alias("blocks"))
     passed_on = F.when(F.col("blocks") & ~F.col("allows"), "block").otherwise("allow")
     of_node = members.select("node", "class_root").join(classes.select("class_root", passed_on.alias("passed_on")), "class_root")
