@@ -173,7 +173,7 @@ RAW_SCHEMAS: dict[str, T.StructType] = {
     "sellers": _raw("sellers"),
 }
 
-# Columns that the table updates add.
+# Columns that the table updates add, and those of the data sets.
 CUSTOMER_FEATURES = _struct(
     clv=DOUBLE,
     avg_days_between_orders=DOUBLE,
